@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from . import metagene_queries, overlap_queries, report_queries
+
 
 def _modules():
-    return ()
+    return report_queries, metagene_queries, overlap_queries
 
 
 def queries():
