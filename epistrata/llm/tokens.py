@@ -12,6 +12,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept per encoder; then the memory begins anew. Only speed depends on it.
 KEPT = 1_500_000
+#: A digit is a word of its own at word level; it stands between pieces that are encoded together.
+MARK = "7"
 
 
 class PieceEncoder:
@@ -28,15 +30,39 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.blank_matters = self.tokenizer.normalizer is None  # byte level: a blank belongs to the word after it
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile(r"[^\S \n]|  |[ \n]$| \n|[ \n][̀-ͯ]" if self.blank_matters else r"[^\S \n]|[ \n][̀-ͯ]")
+        self.odd = re.compile(r"[^\S \n]|  |\n\n|[ \n]$| \n|[ \n][̀-ͯ]" if self.blank_matters else r"[^\S \n]|[ \n][̀-ͯ]")
         self.known: dict[str, bytes] = {}
+        tokens = sorted(self.tokenizer.get_vocab().items(), key=lambda t: t[1])
+        self.begins = np.zeros(tokens[-1][1] + 1, dtype=bool)  # tokens that begin with a blank (Ġ) or line feed (Ċ)
+        self.begins[[i for t, i in tokens if t[0] in "ĠĊ"]] = True
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[-1]
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > KEPT:
-            self.known.clear()
-        ids = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        for p, e in zip(pieces, ids):
-            self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
+        """Encodes pieces run together, which is about half the work, and cuts the ids apart again; one by one where that is in doubt."""
+        alone = [p for p in pieces if not self._joinable(p)]
+        joined = [p for p in pieces if self._joinable(p)]
+        if joined:
+            run = "".join(joined) if self.blank_matters else f" {MARK} ".join(joined)
+            ids = np.array(self.tokenizer.encode_batch_fast([run], add_special_tokens=False)[0].ids, dtype="<u4")
+            if self.blank_matters:
+                cut = np.flatnonzero(self.begins[ids])
+                spans = zip(cut.tolist(), [*cut[1:].tolist(), len(ids)])
+            else:
+                cut = np.flatnonzero(ids == self.mark)
+                spans = zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)])
+            if len(cut) == len(joined) - (not self.blank_matters):
+                raw = ids.tobytes()
+                for p, (i, j) in zip(joined, spans):
+                    self.known[p] = raw[4 * i : 4 * j]
+            else:
+                alone = pieces
+        if alone:
+            for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+                self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _joinable(self, piece: str) -> bool:
+        """A piece that begins with a blank or line feed and goes on (byte level), or has no mark of its own (word level)."""
+        return len(piece) > 1 and piece[0] in " \n" if self.blank_matters else bool(piece) and MARK not in piece
 
     def _pieces(self, text: str) -> list[str]:
         if not self.blank_matters:
@@ -57,8 +83,8 @@ class PieceEncoder:
         if len(new) + len(known) > KEPT:
             new = list(dict.fromkeys(pieces))
             known.clear()
-        for i in range(0, len(new), 4096):
-            self._learn(new[i : i + 4096])
+        for i in range(0, len(new), 1024):
+            self._learn(new[i : i + 1024])
         return b"".join([known[p] for p in pieces])
 
 

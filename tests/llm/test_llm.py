@@ -174,7 +174,7 @@ def test_linked_buckets_of_all_sizes():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_tokenizer(docs, name):
     enc, plain = tokens.PieceEncoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
-    texts = [t or "" for t in [*ODD, *docs_text(docs).values(), "  a", "a  b", " \n x", "e ́x", "a\tb c", "<|endoftext|> hi", "x ", "\n\nfoo\n  bar", "don't stop'll", "c\x1c d!", "İ x", "a  b", "tail \n"]]
+    texts = [t or "" for t in [*ODD, *docs_text(docs).values(), "  a", "a  b", " \n x", "e ́x", "a\tb c", "<|endoftext|> hi", "x ", "\n\nfoo\n  bar", "don't stop'll", "c\x1c d!", "İ x", "a  b", "tail \n", "a\n\n\nb\n\nc", "7 a7 77 b", "\n7", "x\n y\nz", "Ġa Ċb"]]
     for t in texts * 2:
         assert enc.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(t[:50])
 
