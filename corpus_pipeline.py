@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistrata.llm import common, mixing, packing, paragraphs, quality, registry, simhash
+from epistrata.llm import common, mixing, near_copies, packing, paragraphs, quality, registry
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each class of near-duplicates (rows of one doc_id: the first by text)."""
-    return simhash.deduplicated(docs.select(*COLUMNS))
+    """Keeps the document with the smallest doc_id of each class: five-word shingles alike at 0.8 or more."""
+    return near_copies.deduplicated(docs.select(*COLUMNS))
 
 
 def paragraph_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,13 +129,3 @@ def classes(docs: DataFrame, width: int = 3, text: str = "text") -> DataFrame:
     of = least.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     root = of.groupBy("root").agg(F.min("least").alias("component_id"))
     return d.join(of.join(root, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicated(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
-    """``docs``' own columns, one row of each class: that of its smallest doc_id (nulls last; of rows with one doc_id, the first by text)."""
-    d = docs.withColumn("_row", F.xxhash64("doc_id", F.col(text)))
-    of = classes(d.select(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.xxhash64(F.col(text)).alias("hash"), "_row").alias("doc_id"), F.col(text).alias("text")), width)
-    stay = of.where("doc_id = component_id").select(F.col("doc_id._row").alias("_row")).distinct()
-    kept = d.join(stay, "_row", "left_semi")
-    # rows alike in doc_id and text are one document
-    return kept.dropDuplicates(["_row"]).select(*docs.columns)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from epistrata.llm import common, components, licenses, mixing, packing, paragraphs, prefix, quality, registry, repetition, sharding, simhash, sketches, token_store, tokens
+from epistrata.llm import common, components, licenses, mixing, near_copies, packing, paragraphs, prefix, quality, registry, repetition, sharding, simhash, sketches, token_store, tokens
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -144,6 +145,57 @@ def test_simhash_fingerprints_and_classes(docs, spark):
     assert len({find(10_000 + i) for i in range(60)}) == 1
 
 
+def test_near_copies_against_all_pairs(spark, docs, monkeypatch):
+    """Few and crowded near-copies, exact copies and texts that are too different, against the exact likeness of all pairs."""
+    monkeypatch.setattr(near_copies, "BLOCK", 25)
+    rng = random.Random(5)
+    texts = [r.text for r in docs.where("n_chars > 600").orderBy("doc_id").limit(40).collect()]
+
+    def changed(text, n):
+        w = text.split()
+        for i in rng.sample(range(len(w)), n):
+            w[i] = f"q{rng.randrange(10**6)}"
+        return " ".join(w)
+
+    made = [changed(t, max(1, len(t.split()) // 60)) for t in texts] + [changed(t, len(t.split()) // 10) for t in texts]
+    crowd = [changed(" ".join(f"w{i}" for i in range(400)), 2) for _ in range(90)]
+    given = list(enumerate([*texts, *made, *crowd, *crowd[:3], texts[0].translate(str.maketrans(common.ASCII_LOWER, common.ASCII_UPPER)), "", None]))
+    sets = [set(near_copies.shingles(t.encode().lower().split() if t else []).tolist()) for _, t in given]
+    group = list(range(len(given)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    unsure = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            like = len(a & sets[j]) / max(1, len(a | sets[j]))
+            unsure += 0.8 <= like < 0.84
+            if a == sets[j] or like >= 0.8:
+                group[top(i)] = top(j)
+    want = {}
+    for i in range(len(given)):
+        want[top(i)] = min(i, want.get(top(i), i))
+    kept = near_copies.deduplicated(spark.createDataFrame(given, "doc_id long, text string"))
+    assert len({r.doc_id for r in kept.collect()} ^ set(want.values())) <= unsure // 10
+    assert kept.where("doc_id >= 120").count() == 2  # one of the crowd, one text without words
+
+
+def test_near_copies_keys_meet():
+    """At a likeness of 0.85 or more nearly all pairs share a key; unlike sets share none."""
+    rng = np.random.default_rng(1)
+    shared = rng.integers(0, 1 << 63, (60, 190), dtype=np.uint64)
+    own = rng.integers(0, 1 << 63, (2, 60, 15), dtype=np.uint64)
+    (a, x), (b, y) = (near_copies.signatures([np.r_[s, o] for s, o in zip(shared, own[i])]) for i in (0, 1))
+    bucket = lambda k: set((k >> np.uint64(near_copies.SHORT)).tolist())
+    assert sum(bool(bucket(i) & bucket(j)) for i, j in zip(x, y)) >= 58
+    assert sum(bool(bucket(i) & bucket(j)) for i, j in zip(x, np.roll(y, 1, axis=0))) <= 1
+    like = near_copies.estimated(np.bitwise_count(a ^ b).sum(axis=1), 205.0, 205.0)
+    assert abs(like.mean() - 190 / 220) < 0.02
+
+
 def test_linked_buckets_of_all_sizes():
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
@@ -440,7 +492,7 @@ def every(spark, table):
     yield mixing.schedule(table)
     yield mixing.mixed_documents(table)
     yield simhash.classes(table)
-    yield simhash.deduplicated(table)
+    yield near_copies.deduplicated(table)
     yield paragraphs.repeated(table)
     yield paragraphs.without_repeats(table)
     model = quality.learn(table, spark.createDataFrame([(1, 1), (2, 0), (3, None)], "doc_id long, quality int"))
