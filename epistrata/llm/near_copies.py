@@ -22,12 +22,12 @@ SEGMENT = 24
 SEGMENTS = BITS // SEGMENT
 #: Segments that a document indexes, and wildcards of each.
 INDEXED, WILD = 48, 3
-#: Bits that estimate a likeness (its standard error at 0.8 is 0.03), and how far below 0.8 an estimate still gets an exact check.
-SKETCH, SLACK = 1024, 0.1
+#: Bits that estimate a likeness (its standard error at 0.8 is 0.02), and how far below 0.8 an estimate still gets an exact check.
+SKETCH, SLACK = 2048, 0.1
 #: Low bits of an indexed key: a short fingerprint that spares most chance meetings the estimate.
 SHORT, SHORT_BITS = 27, 10
 #: Members up to which all pairs of a bucket are checked exactly; in larger ones the estimate links, block against block.
-CROWD, BLOCK = 32, 4096
+CROWD, BLOCK = 8, 4096
 WEIGHTS = (0.9, 0.7, 0.6, 0.4)
 _order = np.random.default_rng(2024).permutation(BITS)
 _walsh = np.array([[1 - 2 * ((i & j).bit_count() & 1) for j in range(SIDE)] for i in range(SIDE)], dtype=np.float32)
@@ -188,7 +188,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """(row, doc_id, root): rows of one ``root`` are connected by near-copies. ``row`` is a hash of doc_id and text.
 
     Texts with the same words (A-Z lowered) are copies; those without words are copies of each other, nulls too. Pairs of a
-    bucket of up to CROWD distinct texts are checked by their exact likeness; in larger ones the 1024-bit estimate decides.
+    bucket of up to CROWD distinct texts are checked by their exact likeness; in larger ones the 2048-bit estimate decides.
     Repeated rows come back repeated; null doc_ids are kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select(F.xxhash64("doc_id", F.col(text)).alias("row"), "doc_id", F.col(text).alias("text"))
@@ -198,9 +198,17 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     met = common.written(
         keys.repartition(F.shiftrightunsigned("key", SHORT)).sortWithinPartitions(F.shiftrightunsigned("key", SHORT), "id").mapInArrow(_met, "key long, a long, b long"), "met")
     known = new.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    crowds = met.where("b is null").select("key", F.col("a").alias("id"))
+    blocks = crowds.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine, other = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    within = crowds.join(blocks, "key").select("key", "id", mine.alias("mine"), other.alias("other")).select("key", "id", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    crowded = connected_components(within.join(known, "id").groupBy("key", "x", "y").applyInArrow(_crowd, "a long, b long"))
+    # pairs that a crowd has connected needn't be weighed
+    at = lambda c: crowded.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    loose = met.where("b is not null").select("a", "b").distinct().join(at("a"), "a", "left").join(at("b"), "b", "left").where("of_a is null or of_b is null or of_a <> of_b")
     side = lambda c: known.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     pairs = common.written(
-        met.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_weighed, "a long, b long, likeness double"), "weighed")
+        loose.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_weighed, "a long, b long, likeness double"), "weighed")
     sure = pairs.where(F.col("likeness") >= LIKENESS + SLACK).select("a", "b")
     doubtful = pairs.where(F.col("likeness") < LIKENESS + SLACK).select("a", "b")
     asked = doubtful.select(F.col("a").alias("id")).union(doubtful.select(F.col("b").alias("id"))).distinct()
@@ -208,12 +216,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = common.written(given.select("row", "text").join(rows, "row").groupBy("id").agg(F.first("text").alias("text")), "texts")
     half = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     exact = doubtful.join(half("a"), "a").join(half("b"), "b").mapInArrow(_exact, "a long, b long")
-    crowds = met.where("b is null").select("key", F.col("a").alias("id"))
-    blocks = crowds.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine, other = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    within = crowds.join(blocks, "key").select("key", "id", mine.alias("mine"), other.alias("other")).select("key", "id", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    crowded = within.join(known, "id").groupBy("key", "x", "y").applyInArrow(_crowd, "a long, b long")
-    linked = connected_components(sure.union(exact).union(crowded)).select(F.col("node").alias("id"), "component")
+    linked = connected_components(sure.union(exact).union(crowded.select(F.col("node").alias("a"), F.col("component").alias("b")))).select(F.col("node").alias("id"), "component")
     return d.select("row", "doc_id", "id").join(linked, "id", "left").select("row", "doc_id", F.coalesce("component", "id").alias("root"))
 
 
