@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +33,15 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Paths made inside each ``settled`` that is under way, innermost last.
+_under_way: list[list[str]] = []
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's interpreter ends."""
+    """A new path in the shared folder, deleted when the driver's interpreter ends or the ``settled`` around it does."""
     path = f"{shared_dir(spark)}/epistrata/{name}-{uuid.uuid4().hex}"
+    if _under_way:
+        _under_way[-1].append(path)
 
     def drop():
         try:
@@ -53,6 +60,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()``'s rows as a table. The tables written on the way are deleted as soon as it is there, so they don't pile up
+    under later operators."""
+    path = table_path(spark, name)
+    _under_way.append([])
+    try:
+        df = build()
+        df.write.parquet(path)
+    finally:
+        for used in _under_way.pop():
+            delete(spark, used)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)

@@ -224,6 +224,10 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs``' own columns, one row of each class: that of its smallest doc_id (nulls last; of rows with one doc_id, one by its text's hash).
 
     Rows alike in doc_id and text are one document."""
-    first = classes(docs, text).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first"))
-    kept = docs.withColumn("_row", F.xxhash64("doc_id", F.col(text))).join(first.select(F.col("first.row").alias("_row")), "_row", "left_semi")
+
+    def first():
+        of_class = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")
+        return classes(docs, text).groupBy("root").agg(of_class).select(F.col("first.row").alias("_row"))
+
+    kept = docs.withColumn("_row", F.xxhash64("doc_id", F.col(text))).join(common.settled(docs.sparkSession, "first", first), "_row", "left_semi")
     return kept.dropDuplicates(["_row"]).select(*docs.columns)

@@ -122,7 +122,11 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") ->
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
     """``docs`` without the repeated paragraphs' later occurrences. A document of which nothing but white space is left goes, if something was removed from it."""
-    gone = repeated(docs, min_words, text).where("not kept").groupBy(F.col("row").alias("_gone_row")).agg(F.collect_set("paragraph").alias("_gone"))
+
+    def later():
+        return repeated(docs, min_words, text).where("not kept").groupBy(F.col("row").alias("_gone_row")).agg(F.collect_set("paragraph").alias("_gone"))
+
+    gone = common.settled(docs.sparkSession, "gone", later)
     rows = docs.withColumn("_row", F.xxhash64("doc_id", F.col(text)))
     joined = rows.join(gone, F.col("_row") == F.col("_gone_row"), "left")
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i))

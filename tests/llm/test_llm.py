@@ -525,3 +525,19 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert sum(r.length for r in packed) == sum(len(plain.encode(r.text, add_special_tokens=False).ids) + 1 for r in kept.collect())
+
+
+def test_settled_tables_leave_nothing_on_the_way(spark):
+    left = []
+
+    def build():
+        left.append(common.table_path(spark, "on_the_way"))
+        spark.range(5).write.parquet(left[0])
+        return common.settled(spark, "inner", lambda: common.written(spark.read.parquet(left[0]), "deeper")).where("id > 1")
+
+    assert sorted(r.id for r in common.settled(spark, "outer", build).collect()) == [2, 3, 4]
+    there = spark._jvm.org.apache.hadoop.fs.Path(left[0])
+    assert not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    with pytest.raises(ZeroDivisionError):
+        common.settled(spark, "failing", lambda: 1 / 0)
+    assert not common._under_way
