@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import BIN
+
 #: Strand and whether converted, by read and genome conversion; context and state by call.
 STRANDS = {"CTCT": ("+", False), "CTGA": ("-", False), "GACT": ("+", True), "GAGA": ("-", True)}
 CALLS = {"z": ("CG", 0), "Z": ("CG", 1), "x": ("CHG", 0), "X": ("CHG", 1), "h": ("CHH", 0), "H": ("CHH", 1), "u": ("U", 0), "U": ("U", 1)}
@@ -35,7 +37,7 @@ def decoded(calls: DataFrame, min_qual: int | None = None, context: str | None =
 
 def in_regions(calls: DataFrame, regions: DataFrame) -> DataFrame:
     """Calls within [upstream, downstream] of a region of their chromosome; once per region."""
-    from .joins import BIN, _exploded
+    from .joins import _exploded
 
     r = _exploded(regions, F.col("upstream"), F.col("downstream"), BIN).select(F.col("chr").alias("_c"), "_bin", F.col("upstream").alias("_u"), F.col("downstream").alias("_d"), F.col("id").alias("region"))
     c = calls.withColumn("_b", F.floor(F.col("position") / BIN))
@@ -68,13 +70,20 @@ def quality_by_offset(reads: DataFrame) -> DataFrame:
     return reads.select(F.posexplode("quals").alias("offset", "qual")).groupBy("offset").agg(F.avg("qual").alias("mean_qual"), F.count("*").alias("n"))
 
 
+def numbered(calls: DataFrame, by: str) -> DataFrame:
+    """(by, position, k): distinct positions numbered from 1 in ascending order. Bins are counted first and numbered within, so a task orders one bin."""
+    positions = calls.select(by, "position", F.floor(F.col("position") / BIN).alias("_bin")).distinct()
+    bins = positions.groupBy(by, "_bin").agg(F.count("*").alias("_n"))
+    before = bins.select(by, "_bin", (F.sum("_n").over(Window.partitionBy(by).orderBy("_bin")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(by, "_bin").orderBy("position"))
+    return positions.withColumn("_k", place).join(before, [by, "_bin"]).select(by, "position", (F.col("_before") + F.col("_k")).alias("k"))
+
+
 def patterns(calls: DataFrame, length: int = 4, by: str = "chr") -> DataFrame:
     """(by, window, first, last, pattern, n): counts of 0/1 patterns of reads that cover ``length`` consecutive cytosines of ``by``.
 
     Cytosines are numbered by ``by``; a read's calls that are consecutive in number form its windows, so no matrix is made."""
-    positions = calls.select(by, "position").distinct()
-    numbered = positions.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("position")))
-    d = calls.join(numbered, [by, "position"])
+    d = calls.join(numbered(calls, by), [by, "position"])
     w = Window.partitionBy(by, "qname").orderBy("k").rowsBetween(Window.currentRow, length - 1)
     ahead = d.select(by, "k", "position", F.collect_list(F.col("k")).over(w).alias("ks"), F.collect_list(F.col("position")).over(w).alias("ps"), F.array_join(F.collect_list(F.col("m").cast("string")).over(w), "").alias("pattern"))
     full = ahead.where((F.size("ks") == length) & (F.element_at("ks", -1) == F.col("k") + length - 1))
