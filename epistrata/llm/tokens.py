@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -10,10 +11,14 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept per encoder; then the memory begins anew. Only speed depends on it.
-KEPT = 1_500_000
+#: Pieces kept per encoder and generation; of a full one, those that are met again move to the next. Only speed and memory depend on it.
+KEPT = 250_000
 #: A digit is a word of its own at word level; it stands between pieces that are encoded together.
 MARK = "7"
+#: Fixed value: a pattern that a vocabulary may split words by, and what it comes to within lower-case ASCII.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class PieceEncoder:
@@ -32,11 +37,55 @@ class PieceEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile(r"[^\S \n]|  |\n\n|[ \n]$| \n|[ \n][̀-ͯ]" if self.blank_matters else r"[^\S \n]|[ \n][̀-ͯ]")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.divides = not self.blank_matters and self._splits_words()
+        if self.divides:
+            self.special = [t.lower() for t in self.special]
         tokens = sorted(self.tokenizer.get_vocab().items(), key=lambda t: t[1])
         self.begins = np.zeros(tokens[-1][1] + 1, dtype=bool)  # tokens that begin with a blank (Ġ) or line feed (Ċ)
         self.begins[[i for t, i in tokens if t[0] in "ĠĊ"]] = True
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[-1]
 
+    def _splits_words(self) -> bool:
+        """Whether the vocabulary lower-cases and splits as WORD_SPLIT says, so that parts of a piece have ids of their own."""
+        made = json.loads(self.tokenizer.to_str())
+        first = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        return "Lowercase" in [n["type"] for n in made["normalizer"].get("normalizers", [])] and (first.get("pattern"), first.get("invert")) == ({"Regex": WORD_SPLIT}, True)
+
+    def _parts(self, piece: str) -> list[str]:
+        """Parts whose ids in turn are the piece's: words without their capitals and marks recur more often than pieces do."""
+        if not self.divides or not piece:
+            return [piece]
+        if piece.isascii():
+            return ASCII_SPLIT.findall(piece.lower())
+        head = piece.rstrip(PUNCTUATION)
+        if head and len(head) < len(piece) and head[-1] < "\u0250" and head[-1].lower().isalpha():
+            return [head, piece[len(head) :]]
+        return [piece]
+
+    def _know(self, pieces: list[str]) -> None:
+        """Sees to it that ``known`` has all ``pieces``."""
+        missing = set(pieces).difference(self.known)
+        if len(self.known) + len(missing) > KEPT:
+            self.older, self.known = self.known, {}
+            missing = set(pieces)
+        known, older, parts = self.known, self.older, {}
+        for p in missing:
+            if p in older:
+                known[p] = older[p]
+            else:
+                parts[p] = self._parts(p)
+        need = []
+        for q in dict.fromkeys(q for found in parts.values() for q in found):
+            if q in older:
+                known[q] = older[q]
+            elif q not in known:
+                need.append(q)
+        for i in range(0, len(need), 1024):
+            self._learn(need[i : i + 1024])
+        for p, found in parts.items():
+            known[p] = b"".join([known[q] for q in found])
+
     def _learn(self, pieces: list[str]) -> None:
         """Encodes pieces run together, which is about half the work, and cuts the ids apart again; one by one where that is in doubt."""
         alone = [p for p in pieces if not self._joinable(p)]
@@ -72,19 +121,16 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.odd.search(text) or "\x00" in text or any(s in text for s in self.special):
+        held = text.lower() if self.divides else text
+        if self.odd.search(text) or "\x00" in text or any(s in held for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         pieces = self._pieces(text)
-        known = self.known
         try:
+            known = self.known
             return b"".join([known[p] for p in pieces])
         except KeyError:
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(new) + len(known) > KEPT:
-            new = list(dict.fromkeys(pieces))
-            known.clear()
-        for i in range(0, len(new), 1024):
-            self._learn(new[i : i + 1024])
+            self._know(pieces)
+        known = self.known
         return b"".join([known[p] for p in pieces])
 
 
