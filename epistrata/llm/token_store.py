@@ -26,6 +26,8 @@ from .tokens import encoder
 #: A cut where the rolling hash of the last WINDOW ids ends in MASK zero bits, so about every 512 ids.
 WINDOW, MASK, LEAST, MOST = 16, (1 << 9) - 1, 64, 4096
 MULTIPLIER = 0x9E3779B97F4A7C15
+#: Pieces that the encoder keeps in a generation: fewer than elsewhere, as the chunks take memory too.
+KEPT = 250_000
 #: Documents of one manifest.
 PART = 4096
 
@@ -74,7 +76,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 def _encode(path: str, end_id: int, dtype: str, text_at: int):
     def run(batches):
-        enc, seen = encoder(path), set()
+        enc, seen = encoder(path, KEPT), set()
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)

@@ -12,7 +12,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept per encoder and generation; of a full one, those that are met again move to the next. Only speed and memory depend on it.
-KEPT = 250_000
+KEPT = 750_000
 #: A digit is a word of its own at word level; it stands between pieces that are encoded together.
 MARK = "7"
 #: Fixed value: a pattern that a vocabulary may split words by, and what it comes to within lower-case ASCII.
@@ -29,13 +29,14 @@ class PieceEncoder:
     isn't certain (white space of other kinds, which may form runs with blanks, and marks that a normalizer could
     join to a piece's neighbour) are encoded whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.blank_matters = self.tokenizer.normalizer is None  # byte level: a blank belongs to the word after it
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile(r"[^\S \n]|  |\n\n|[ \n]$| \n|[ \n][̀-ͯ]" if self.blank_matters else r"[^\S \n]|[ \n][̀-ͯ]")
+        self.kept = kept
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.divides = not self.blank_matters and self._splits_words()
@@ -66,7 +67,7 @@ class PieceEncoder:
     def _know(self, pieces: list[str]) -> None:
         """Sees to it that ``known`` has all ``pieces``."""
         missing = set(pieces).difference(self.known)
-        if len(self.known) + len(missing) > KEPT:
+        if len(self.known) + len(missing) > self.kept:
             self.older, self.known = self.known, {}
             missing = set(pieces)
         known, older, parts = self.known, self.older, {}
@@ -135,5 +136,5 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def encoder(path: str, kept: int = KEPT) -> PieceEncoder:
+    return PieceEncoder(path, kept)

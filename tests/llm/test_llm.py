@@ -224,9 +224,8 @@ def test_linked_buckets_of_all_sizes():
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder_equals_the_tokenizer(docs, name, monkeypatch):
-    monkeypatch.setattr(tokens, "KEPT", 2_000)
-    enc, plain = tokens.PieceEncoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+def test_encoder_equals_the_tokenizer(docs, name):
+    enc, plain = tokens.PieceEncoder(public_tokenizers.path(name), 2_000), Tokenizer.from_file(public_tokenizers.path(name))
     texts = [t or "" for t in [*ODD, *docs_text(docs).values(), "  a", "a  b", " \n x", "e ́x", "a\tb c", "<|endoftext|> hi", "x ", "\n\nfoo\n  bar", "don't stop'll", "c\x1c d!", "İ x", "a  b", "tail \n", "a\n\n\nb\n\nc", "7 a7 77 b", "\n7", "x\n y\nz", "Ġa Ċb", "It's THE 'REal (x2) ''s", "Éçrean, é'll ñ… …, <PAD> <pad>", "a'LLb 'tis 've've don't,don't"]]
     pool = ["A", "b", "'s", "'LL", "7", "é", "İ", "ß", "…", ",", "!!", "<", ">", "\u0301", "ǅ", "日", " ", " ", "\n"]
     fuzz = random.Random(3)
