@@ -123,7 +123,8 @@ QUERIES["enrich_ref_positions"], ORACLES["enrich_ref_positions"] = align_ref_pos
 @query(f"""WITH {POS}, k AS (SELECT round(round(pos, 6) / 0.01)::BIGINT AS k, sum(step)::BIGINT AS step FROM st GROUP BY 1), c AS (SELECT k, sum(step) OVER (ORDER BY k)::BIGINT AS depth FROM k)
 SELECT round(k * 0.01, 6) AS pos, depth FROM c WHERE k BETWEEN -100 AND 200""")
 def metagene_coverage(spark, sf):
-    return en.coverage(align_ref_positions(spark, sf)).select(r6("pos").alias("pos"), "depth")
+    # cells are hundredths, so two decimals hold a position exactly, as in the SQL
+    return en.coverage(align_ref_positions(spark, sf)).select(F.col("pos").cast("decimal(21,2)").alias("pos"), "depth")
 
 
 @query()
