@@ -26,8 +26,10 @@ INDEXED, WILD = 48, 3
 SKETCH, SLACK = 2048, 0.1
 #: Low bits of an indexed key: a short fingerprint that spares most chance meetings the estimate.
 SHORT, SHORT_BITS = 27, 10
-#: Members up to which all pairs of a bucket are checked exactly; in larger ones the estimate links, block against block.
+#: Members up to which the pairs of a bucket are listed; larger ones are crowds, whose members are compared block against block.
 CROWD, BLOCK = 8, 4096
+#: Shingles that a block of texts holds on average, at most.
+HELD = 2_000_000
 WEIGHTS = (0.9, 0.7, 0.6, 0.4)
 _order = np.random.default_rng(2024).permutation(BITS)
 _walsh = np.array([[1 - 2 * ((i & j).bit_count() & 1) for j in range(SIDE)] for i in range(SIDE)], dtype=np.float32)
@@ -154,24 +156,69 @@ def _weighed(batches):
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(like)], names=["a", "b", "likeness"]).filter(pa.array(like >= LIKENESS - SLACK))
 
 
-def _crowd(table: pa.Table) -> pa.Table:
-    """Edges that connect what estimates of 0.8 or more connect among the members of a block pair: breadth first over those not reached yet."""
-    ids = table.column("id").to_numpy()
-    order = np.argsort(ids)
-    ids, n = ids[order], table.column("n").to_numpy()[order].astype(float)
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u8").reshape(len(ids), -1)[order]
+def _spread(ids, like) -> pa.Table:
+    """Edges that connect what ``like(at, left)`` connects among the members: breadth first over those not reached yet."""
     left, edges = np.arange(len(ids)), []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = estimated(np.bitwise_count(sketch[left] ^ sketch[at]).sum(axis=1), n[left], n[at]) >= LIKENESS
+            near = like(at, left)
             found, left = left[near], left[~near]
             edges += [(ids[at], ids[i]) for i in found]
             queue.extend(found)
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
+def _members(table: pa.Table):
+    """(table, ids, n, sketches) of a block pair's members, ascending by id."""
+    table = table.sort_by("id")
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u8").reshape(table.num_rows, -1)
+    return table, table.column("id").to_numpy(), table.column("n").to_numpy().astype(float), sketch
+
+
+def _estimates(sketch, n, at, left):
+    return estimated(np.bitwise_count(sketch[left] ^ sketch[at]).sum(axis=1), n[left], n[at])
+
+
+def _crowd(table: pa.Table) -> pa.Table:
+    """Edges that connect what may be alike among the members of a crowd's block pair: the estimate isn't too low."""
+    _, ids, n, sketch = _members(table)
+    return _spread(ids, lambda at, left: _estimates(sketch, n, at, left) >= LIKENESS - SLACK)
+
+
+def _alike(table: pa.Table) -> pa.Table:
+    """Edges that connect what is alike among the texts of a block pair. Where the estimate is in doubt, the exact likeness decides."""
+    table, ids, n, sketch = _members(table)
+    sets = [shingles(t.as_py().encode().lower().split()) for t in table.column("text")]
+    ends = np.cumsum([len(s) for s in sets])
+    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = np.split(flat.astype(np.int32), ends[:-1])
+    held = np.zeros(len(distinct), dtype=bool)
+
+    def like(at, left):
+        estimate = _estimates(sketch, n, at, left)
+        near = estimate >= LIKENESS + SLACK
+        doubtful = np.flatnonzero((estimate >= LIKENESS - SLACK) & ~near)
+        if len(doubtful):
+            some = [sets[i] for i in left[doubtful]]
+            sizes = np.array([len(s) for s in some])
+            held[sets[at]] = True
+            both = np.add.reduceat(held[np.concatenate(some)].astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+            held[sets[at]] = False
+            near[doubtful] = 10 * both >= round(10 * LIKENESS) * (sizes + len(sets[at]) - both)
+        return near
+
+    return _spread(ids, like)
+
+
+def _against(members: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """(key, x, y, id): the members of every pair of a key's blocks."""
+    mine, other = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return members.join(blocks, key).select(key, "id", mine.alias("mine"), other.alias("other")).select(
+        key, F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "id")
+
+
 def _exact(batches):
     """Pairs of texts whose sets of shingles are alike."""
     for b in batches:
@@ -187,8 +234,10 @@ def _exact(batches):
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """(row, doc_id, root): rows of one ``root`` are connected by near-copies. ``row`` is a hash of doc_id and text.
 
-    Texts with the same words (A-Z lowered) are copies; those without words are copies of each other, nulls too. Pairs of a
-    bucket of up to CROWD distinct texts are checked by their exact likeness; in larger ones the 2048-bit estimate decides.
+    Texts with the same words (A-Z lowered) are copies; those without words are copies of each other, nulls too. Pairs whose
+    2048-bit estimate is within SLACK of LIKENESS are checked by their exact likeness. In buckets of more than CROWD distinct
+    texts the estimate first gathers what may be alike, over all buckets; then the texts of each such gathering, each sent once
+    for every block, are compared in pairs of blocks.
     Repeated rows come back repeated; null doc_ids are kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select(F.xxhash64("doc_id", F.col(text)).alias("row"), "doc_id", F.col(text).alias("text"))
@@ -200,9 +249,13 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     known = new.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     crowds = met.where("b is null").select("key", F.col("a").alias("id"))
     blocks = crowds.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine, other = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    within = crowds.join(blocks, "key").select("key", "id", mine.alias("mine"), other.alias("other")).select("key", "id", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    crowded = connected_components(within.join(known, "id").groupBy("key", "x", "y").applyInArrow(_crowd, "a long, b long"))
+    maybe = connected_components(_against(crowds, "key", blocks).join(known, "id").groupBy("key", "x", "y").applyInArrow(_crowd, "a long, b long"))
+    gathered = common.written(maybe.select(F.col("node").alias("id"), F.col("component").alias("of")).join(known, "id"), "gathered")
+    blocks = gathered.groupBy("of").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / HELD)).cast("int").alias("blocks"))
+    row_of = new.join(gathered.select("id"), "id", "left_semi").groupBy("id").agg(F.min("row").alias("row"))
+    crowd_texts = given.select("row", "text").join(row_of, "row").groupBy("id").agg(F.first("text").alias("text"))
+    full = gathered.select("id", "n", "sketch").join(crowd_texts, "id")
+    crowded = connected_components(_against(gathered.select("of", "id"), "of", blocks).join(full, "id").groupBy("of", "x", "y").applyInArrow(_alike, "a long, b long"))
     # pairs that a crowd has connected needn't be weighed
     at = lambda c: crowded.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     loose = met.where("b is not null").select("a", "b").distinct().join(at("a"), "a", "left").join(at("b"), "b", "left").where("of_a is null or of_b is null or of_a <> of_b")

@@ -196,6 +196,21 @@ def test_near_copies_keys_meet():
     assert abs(like.mean() - 190 / 220) < 0.02
 
 
+@pytest.mark.parametrize("block", [4096, 25])
+def test_a_crowd_links_by_exact_likeness(spark, monkeypatch, block):
+    """Every pair of a template's texts is at 0.77, so none may go; those of another are at 0.81 and are one class."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    given = []
+    for at, (name, own, shared) in enumerate((("far", 26, 174), ("near", 21, 179))):
+        template = [f"{name}{j}" for j in range(shared + near_copies.WIDTH - 1)]
+        given += [(1000 * at + i, " ".join(template + [f"{name}own{i}x{j}" for j in range(own)])) for i in range(60)]
+    sets = {i: set(near_copies.shingles(t.encode().split()).tolist()) for i, t in given}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert like(0, 1) < 0.775 and like(1000, 1001) > 0.805
+    kept = near_copies.deduplicated(spark.createDataFrame(given, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(60), 1000]
+
+
 def test_linked_buckets_of_all_sizes():
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
