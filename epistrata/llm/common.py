@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -62,16 +63,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """``build()``'s rows as a table. The tables written on the way are deleted as soon as it is there, so they don't pile up
-    under later operators."""
+    under later operators; nor do shuffle files, which Spark deletes once the driver has collected what refers to them."""
     path = table_path(spark, name)
     _under_way.append([])
     try:
         df = build()
+        schema = df.schema
         df.write.parquet(path)
     finally:
         for used in _under_way.pop():
             delete(spark, used)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, passages
 from .components import connected_components
 
 WIDTH, LIKENESS = 5, 0.8
@@ -120,15 +120,33 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") ->
         "row", "doc_id", "paragraph", "n_words", F.lower(F.hex("of")).alias("cluster"), "copies", (first == F.col("first")).alias("kept"), F.col("first.doc_id").alias("first_doc_id"))
 
 
+def _cleaned(column: int):
+    def run(batches):
+        for b in batches:
+            lines, spans = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+            if lines.null_count < b.num_rows or spans.null_count < b.num_rows:
+                texts = [
+                    passages.cut(t, set(x or []), [(s["start"], s["n_words"]) for s in y or []]) if x or y else t
+                    for t, x, y in zip(*(b.column(c).to_pylist() for c in (column, b.num_columns - 2, b.num_columns - 1)))]
+                b = b.set_column(column, b.schema.field(column), pa.array(texts, b.column(column).type))
+            yield b.drop_columns(["_gone", "_cut"])
+
+    return run
+
+
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
-    """``docs`` without the repeated paragraphs' later occurrences. A document of which nothing but white space is left goes, if something was removed from it."""
+    """``docs`` without the later occurrences of repeated paragraphs and of passages (``passages``). Both keep the first by one order, so
+    something of every kind stays. A document of which nothing but white space is left goes, if something was removed from it."""
 
     def later():
-        return repeated(docs, min_words, text).where("not kept").groupBy(F.col("row").alias("_gone_row")).agg(F.collect_set("paragraph").alias("_gone"))
+        spans = common.settled(docs.sparkSession, "passages", lambda: passages.repeated(docs, text).where("not kept").select("row", "start", "n_words"))
+        lines = repeated(docs, min_words, text).where("not kept").groupBy("row").agg(F.collect_set("paragraph").alias("_gone"))
+        spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "n_words")).alias("_cut"))
+        return lines.join(spans, "row", "full").withColumnRenamed("row", "_gone_row")
 
     gone = common.settled(docs.sparkSession, "gone", later)
     rows = docs.withColumn("_row", F.xxhash64("doc_id", F.col(text)))
-    joined = rows.join(gone, F.col("_row") == F.col("_gone_row"), "left")
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    cleaned = joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n")))
-    return cleaned.where(F.col("_gone").isNull() | F.col(text).rlike(common.WORD)).select(*docs.columns)
+    joined = rows.join(gone, F.col("_row") == F.col("_gone_row"), "left").select(*docs.columns, (F.col("_gone_row").isNotNull()).alias("_less"), "_gone", "_cut")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    cleaned = joined.mapInArrow(_cleaned(docs.columns.index(text)), f"{types}, _less boolean")
+    return cleaned.where(~F.col("_less") | F.col(text).rlike(common.WORD)).select(*docs.columns)

@@ -6,7 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from . import common, licenses, mixing, packing, paragraphs, quality, repetition, sharding, simhash, sketches, token_store
+from . import common, licenses, mixing, packing, paragraphs, passages, quality, repetition, sharding, simhash, sketches, token_store
 
 
 def op1_mix(spark, sf_dir):
@@ -33,8 +33,11 @@ def op3_token_store(spark, sf_dir, tokenizer=None, end_id=1):
 
 
 def op4_repeated_paragraphs(spark, sf_dir):
-    d = paragraphs.repeated(common.documents(spark, sf_dir))
-    return d.select("doc_id", "paragraph", "n_words", "cluster", "copies", "kept", "first_doc_id")
+    """Repeated lines, and passages of 51 words or more; a passage's cluster has 16 digits, a line's 32."""
+    columns = ("doc_id", "paragraph", "n_words", "cluster", "copies", "kept", "first_doc_id")
+    docs = common.documents(spark, sf_dir)
+    found = common.settled(spark, "passages", lambda: passages.repeated(docs))
+    return paragraphs.repeated(docs).select(*columns).union(found.withColumn("cluster", F.lower(F.lpad(F.hex("cluster"), 16, "0"))).select(*columns))
 
 
 def not_held_out(labels):

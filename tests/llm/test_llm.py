@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from epistrata.llm import common, components, licenses, mixing, near_copies, packing, paragraphs, prefix, quality, registry, repetition, sharding, simhash, sketches, token_store, tokens
+from epistrata.llm import common, components, licenses, mixing, near_copies, packing, paragraphs, passages, prefix, quality, registry, repetition, sharding, simhash, sketches, token_store, tokens
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -330,6 +330,40 @@ def test_a_band_in_blocks_loses_nothing(spark, monkeypatch):
     assert {(r.doc_id, r.copies) for r in paragraphs.repeated(d).collect()} == whole
 
 
+def test_passages_against_all_runs_of_51_words(spark, docs):
+    """Every run of 51 words that stands in two places, among the documents and in texts with planted ones."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"p{rng.randrange(10**9)}" for _ in range(n)]
+    one, two, short = fresh(60), fresh(51), fresh(50)
+    wrapped = "\n".join(" ".join(one[i : i + 9]) for i in range(0, 60, 9))
+    extra = [" ".join(fresh(40) + one + fresh(70)), " ".join(fresh(5)) + "\n" + wrapped, " ".join(fresh(30) + two + fresh(3) + two), " ".join(one[5:57]).upper().replace("P", "p"),
+             " ".join(fresh(9) + short), " ".join(short + fresh(9)), "x " * 90, " ".join(fresh(10) * 9)]
+    rows = [(10**6 + i, t, "en", "s", 1) for i, t in enumerate(extra)]
+    d = docs.dropDuplicates(["doc_id"]).union(spark.createDataFrame(rows, SCHEMA))
+    places = {}
+    for r in d.collect():
+        w = words(lower(r.text or ""))
+        for i in range(len(w) - 50):
+            places.setdefault(tuple(w[i : i + 51]), []).append((r.doc_id, i))
+    want = {p: p == min(v) for v in places.values() if len(v) > 1 for p in v}
+    got = {}
+    for r in passages.repeated(d).collect():
+        for i in range(r.start, r.start + r.n_words - 50):
+            assert (r.doc_id, i) not in got
+            got[r.doc_id, i] = r.kept
+    assert got == want and len(want) > 100
+
+
+def test_a_passage_goes_whatever_surrounds_it(spark):
+    rng = random.Random(9)
+    fresh = lambda n: [f"g{rng.randrange(10**9)}" for _ in range(n)]
+    one, a, b, c = fresh(60), fresh(80), fresh(120), fresh(4)
+    texts = [" ".join(a + one + b), " ".join(b[::-1] + one + a[::-1]), "\n".join([" ".join(c)] + [" ".join(one[i : i + 12]) for i in range(0, 60, 12)] + ["end  of it"])]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    left = {r.doc_id: r.text for r in paragraphs.without_repeats(d).collect()}
+    assert left == {0: texts[0], 1: " ".join(b[::-1] + a[::-1]), 2: " ".join(c) + "\nend  of it"}
+
+
 def test_quality_on_held_out_labels(spark):
     rows = registry.op5_quality(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
