@@ -71,8 +71,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part, out = b.slice(k, 256), []
-                for d, t in zip(part.column(0).to_pylist(), part.column(1)):
-                    raw = enc.encode(t.as_py() or "") + end
+                for d, raw in zip(part.column(0).to_pylist(), enc.encode_all([t or "" for t in part.column(1).to_pylist()])):
+                    raw += end
                     n, at, p = len(raw) // 4, 0, 0
                     while at < n:
                         to = at + ((n - at) % length or length)

@@ -6,7 +6,8 @@ File format, all Parquet under one folder:
                vocabulary allows, else 32-bit; digest: BLAKE2b of 16 bytes over them.
 ``recipes``    (ordinal, doc_id, start, n_tokens, digests, root): one row per document in ascending doc_id order;
                its chunks in turn and the Merkle root over their digests.
-``manifests``  (part, first, documents, tokens, root): one row per range of documents: the Merkle root over theirs.
+``manifests``  (part, first, documents, tokens, width, root): one row per PART documents: bytes of an id, and the Merkle root over
+               the documents' roots.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +39,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    # Rolling hash of the window that ends at each id: a polynomial in an odd multiplier modulo 2^64.
-    powers = np.array([pow(MULTIPLIER, WINDOW - 1 - j, 1 << 64) for j in range(WINDOW)], dtype=np.uint64)
-    x = ids.astype(np.uint64) + np.uint64(1)
-    h = np.zeros(n - WINDOW + 1, dtype=np.uint64)
-    for j in range(WINDOW):
-        h += x[j : n - WINDOW + 1 + j] * powers[j]
+    # Rolling hash of the window that ends at each id: a polynomial in an odd multiplier modulo 2^64, by doubling.
+    h, size = ids.astype(np.uint64) + np.uint64(1), 1
+    while size < WINDOW:
+        h = h[:-size] * np.uint64(pow(MULTIPLIER, size, 1 << 64)) + h[size:]
+        size *= 2
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     marks = np.flatnonzero((h >> np.uint64(20)) & np.uint64(MASK) == 0) + WINDOW
@@ -78,11 +79,11 @@ def _encode(path: str, end_id: int, dtype: str, text_at: int):
     def run(batches):
         enc, seen = encoder(path, KEPT), set()
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
+            for k in range(0, b.num_rows, 128):
+                part = b.slice(k, 128)
                 counts, recipes, blobs, roots = [], [], [], []
-                for t in part.column(text_at):
-                    ids = np.append(np.frombuffer(enc.encode(t.as_py() or ""), dtype="<u4"), end_id).astype(dtype)
+                for raw in enc.encode_all([t or "" for t in part.column(text_at).to_pylist()]):
+                    ids = np.append(np.frombuffer(raw, dtype="<u4"), end_id).astype(dtype)
                     names, new, at = [], [], 0
                     for end in cuts(ids):
                         piece = ids[at:end].tobytes()
@@ -122,41 +123,64 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, t
     encoded.select(F.explode("new").alias("c")).select("c.digest", "c.ids").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{folder}/chunks")
     recipes = in_order(encoded.select("doc_id", "n_tokens", "digests", "root"), "doc_id", "n_tokens", ["root"])
     recipes.select("ordinal", "doc_id", "start", "n_tokens", "digests", "root").repartitionByRange("ordinal").sortWithinPartitions("ordinal").write.parquet(f"{folder}/recipes")
-    r = spark.read.parquet(f"{folder}/recipes").select("ordinal", "n_tokens", "root")
-    root = F.udf(lambda rows: merkle_root([bytes(x["root"]) for x in rows]), "binary")
-    r.groupBy((F.col("ordinal") / PART).cast("long").alias("part")).agg(
-        F.min("ordinal").alias("first"), F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"),
-        root(F.sort_array(F.collect_list(F.struct("ordinal", "root")))).alias("root")).write.parquet(f"{folder}/manifests")
+    rooted(spark.read.parquet(f"{folder}/recipes")).withColumn("width", F.lit(int(dtype[2]))).write.parquet(f"{folder}/manifests")
     common.delete(spark, raw)
 
 
+def rooted(recipes: DataFrame) -> DataFrame:
+    """(part, first, documents, tokens, root) of recipes: what their manifests should be. A task has one part's roots, PART at most."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ordinal")
+        root = merkle_root(table.column("root").to_pylist())
+        return pa.table({
+            "part": table.column("part").slice(0, 1), "first": table.column("ordinal").slice(0, 1), "documents": pa.array([table.num_rows], pa.int64()),
+            "tokens": pa.array([pc.sum(table.column("n_tokens")).as_py()], pa.int64()), "root": pa.array([root], pa.binary())})
+
+    r = recipes.select((F.col("ordinal") / PART).cast("long").alias("part"), "ordinal", "n_tokens", "root")
+    return r.groupBy("part").applyInArrow(run, "part long, first long, documents long, tokens long, root binary")
+
+
+def checked_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, width, whole): a row per part of the manifests or the recipes; whole if both have it and agree."""
+    m, r = spark.read.parquet(f"{folder}/manifests").alias("m"), rooted(spark.read.parquet(f"{folder}/recipes")).alias("r")
+    same = F.lit(True)
+    for c in ("first", "documents", "tokens", "root"):
+        same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return m.join(r, F.col("m.part") == F.col("r.part"), "full").select(F.coalesce("m.part", "r.part").alias("part"), "m.width", same.alias("whole"))
+
+
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """(ordinal, doc_id, start, n_tokens, ids, verified) from the files: ids as 32-bit little-endian bytes.
 
-    ``verified``: every chunk has its digest, and the chunks in turn have the document's Merkle root."""
+    ``verified``: every chunk is there and has its digest, the chunks in turn have the document's Merkle root and length, and the
+    document's part has the root that its manifest tells. A document whose chunks are lost or whose part has no manifest comes
+    back unverified, its ids null if they can't be put together; recipes lost whole show in ``checked_parts``."""
     chunks, recipes = spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/recipes")
     want = recipes.select("ordinal", F.posexplode("digests").alias("at", "digest"))
-    found = want.join(chunks, "digest").groupBy("ordinal").agg(F.collect_list(F.struct("at", "digest", "ids")).alias("parts"))
-    head = recipes.select("ordinal", "doc_id", "start", "n_tokens", "root")
+    found = want.join(chunks, "digest", "left").groupBy("ordinal").agg(F.collect_list(F.struct("at", "digest", "ids")).alias("parts"))
+    head = recipes.select("ordinal", "doc_id", "start", "n_tokens", "root", (F.col("ordinal") / PART).cast("long").alias("part"))
+    head = head.join(checked_parts(spark, folder), "part", "left").drop("part")
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
                 blobs, right = [], []
-                for n, root, parts in zip(part.column("n_tokens").to_pylist(), part.column("root").to_pylist(), part.column("parts").to_pylist()):
-                    parts = sorted(parts, key=lambda p: p["at"])
-                    raw = b"".join(p["ids"] for p in parts)
-                    kind = "<u2" if len(raw) == 2 * n else "<u4"
-                    blobs.append(np.frombuffer(raw, dtype=kind).astype("<u4").tobytes())
-                    right.append(all(digest(p["ids"]) == p["digest"] for p in parts) and merkle_root([p["digest"] for p in parts]) == root)
+                for n, root, width, whole, parts in zip(*(part.column(c).to_pylist() for c in ("n_tokens", "root", "width", "whole", "parts"))):
+                    parts = sorted(parts or [], key=lambda p: p["at"])
+                    there = width and all(p["ids"] is not None for p in parts)
+                    raw = b"".join([p["ids"] for p in parts]) if there else b""
+                    there = there and len(raw) == width * n
+                    blobs.append(np.frombuffer(raw, dtype=f"<u{width}").astype("<u4").tobytes() if there else None)
+                    right.append(bool(there and whole and all(digest(p["ids"]) == p["digest"] for p in parts) and merkle_root([p["digest"] for p in parts]) == root))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("ordinal"), part.column("doc_id"), part.column("start"), part.column("n_tokens"), pa.array(blobs, pa.binary()), pa.array(right)],
                     names=["ordinal", "doc_id", "start", "n_tokens", "ids", "verified"])
 
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    return head.join(found, "ordinal").mapInArrow(run, f"ordinal long, doc_id {kind}, start long, n_tokens long, ids binary, verified boolean")
+    return head.join(found, "ordinal", "left").mapInArrow(run, f"ordinal long, doc_id {kind}, start long, n_tokens long, ids binary, verified boolean")
 
 
-def crc32_of(raw: bytes) -> int:
-    return zlib.crc32(raw)
+def crc32_of(raw: bytes | None) -> int | None:
+    return None if raw is None else zlib.crc32(raw)

@@ -13,18 +13,20 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept per encoder and generation; of a full one, those that are met again move to the next. Only speed and memory depend on it.
 KEPT = 750_000
+#: Characters of texts whose pieces are held at a time.
+HELD = 1_000_000
 #: A digit is a word of its own at word level; it stands between pieces that are encoded together.
 MARK = "7"
-#: Fixed value: a pattern that a vocabulary may split words by, and what it comes to within lower-case ASCII.
+#: Fixed value: a pattern that a vocabulary may split words by, and what it comes to within lower-case ASCII and Latin-1 letters.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
+LATIN_SPLIT = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 class PieceEncoder:
     """Ids of a text as little-endian unsigned 32-bit integers, equal to encoding the whole text at once.
 
-    Both vocabularies split a text before every blank or line feed that follows another character, and merge
+    A vocabulary that lower-cases and splits words (``_splits_words``) gets ASCII and Latin-1 texts as words. Else: both vocabularies split a text before every blank or line feed that follows another character, and merge
     nothing across such a place, so the ids of the pieces in turn are the ids of the text. Texts where that
     isn't certain (white space of other kinds, which may form runs with blanks, and marks that a normalizer could
     join to a piece's neighbour) are encoded whole."""
@@ -42,6 +44,12 @@ class PieceEncoder:
         self.divides = not self.blank_matters and self._splits_words()
         if self.divides:
             self.special = [t.lower() for t in self.special]
+            # the model alone, for words that are lower-case and split already
+            bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "post_processor": None, "added_tokens": []}
+            bare["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+            self.words = Tokenizer.from_str(json.dumps(bare))
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # tokens that end a word
+            self.last[[i for t, i in self.words.get_vocab().items() if t.endswith(bare["model"]["end_of_word_suffix"])]] = True
         tokens = sorted(self.tokenizer.get_vocab().items(), key=lambda t: t[1])
         self.begins = np.zeros(tokens[-1][1] + 1, dtype=bool)  # tokens that begin with a blank (Ġ) or line feed (Ċ)
         self.begins[[i for t, i in tokens if t[0] in "ĠĊ"]] = True
@@ -50,42 +58,31 @@ class PieceEncoder:
     def _splits_words(self) -> bool:
         """Whether the vocabulary lower-cases and splits as WORD_SPLIT says, so that parts of a piece have ids of their own."""
         made = json.loads(self.tokenizer.to_str())
-        first = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-        return "Lowercase" in [n["type"] for n in made["normalizer"].get("normalizers", [])] and (first.get("pattern"), first.get("invert")) == ({"Regex": WORD_SPLIT}, True)
-
-    def _parts(self, piece: str) -> list[str]:
-        """Parts whose ids in turn are the piece's: words without their capitals and marks recur more often than pieces do."""
-        if not self.divides or not piece:
-            return [piece]
-        if piece.isascii():
-            return ASCII_SPLIT.findall(piece.lower())
-        head = piece.rstrip(PUNCTUATION)
-        if head and len(head) < len(piece) and head[-1] < "\u0250" and head[-1].lower().isalpha():
-            return [head, piece[len(head) :]]
-        return [piece]
-
-    def _know(self, pieces: list[str]) -> None:
+        steps = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+        first = steps[0] if steps else {}
+        ended = made["model"].get("end_of_word_suffix")
+        plain = ended and [x["type"] for x in steps[1:]] == ["ByteLevel"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]
+        return plain and "Lowercase" in [n["type"] for n in made["normalizer"].get("normalizers", [])] and (first.get("pattern"), first.get("invert")) == ({"Regex": WORD_SPLIT}, True)
+
+    def _know(self, pieces: set[str]) -> None:
         """Sees to it that ``known`` has all ``pieces``."""
-        missing = set(pieces).difference(self.known)
+        missing = pieces.difference(self.known)
         if len(self.known) + len(missing) > self.kept:
             self.older, self.known = self.known, {}
-            missing = set(pieces)
-        known, older, parts = self.known, self.older, {}
-        for p in missing:
-            if p in older:
-                known[p] = older[p]
-            else:
-                parts[p] = self._parts(p)
-        need = []
-        for q in dict.fromkeys(q for found in parts.values() for q in found):
-            if q in older:
-                known[q] = older[q]
-            elif q not in known:
-                need.append(q)
-        for i in range(0, len(need), 1024):
-            self._learn(need[i : i + 1024])
-        for p, found in parts.items():
-            known[p] = b"".join([known[q] for q in found])
+            missing = pieces
+        again = self.older.keys() & missing
+        self.known.update([(p, self.older[p]) for p in again])
+        missing = missing.difference(again)
+        words = [p for p in missing if LATIN_SPLIT.fullmatch(p)] if self.divides else []
+        for i in range(0, len(words), 1024):
+            some = words[i : i + 1024]
+            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            raw, spans = ids.tobytes(), zip([0, *(4 * ends).tolist()], (4 * ends).tolist(), strict=False)
+            self.known.update([(p, raw[x:y]) for p, (x, y) in zip(some, spans, strict=True)])
+        other = list(missing.difference(words))
+        for i in range(0, len(other), 1024):
+            self._learn(other[i : i + 1024])
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes pieces run together, which is about half the work, and cuts the ids apart again; one by one where that is in doubt."""
@@ -120,19 +117,37 @@ class PieceEncoder:
         return text.replace("\n", " \n").replace(" ", "\x00 ").replace("\x00 \n", "\x00\n").split("\x00")
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        held = text.lower() if self.divides else text
-        if self.odd.search(text) or "\x00" in text or any(s in held for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        pieces = self._pieces(text)
-        try:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. What is missing is learnt for about HELD characters of texts together."""
+        out: list[bytes] = [b""] * len(texts)
+        held, size = [], 0
+
+        def flush():
+            pieces = set().union(*[p for _, p in held])
+            if not pieces <= self.known.keys():
+                self._know(pieces)
             known = self.known
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            self._know(pieces)
-        known = self.known
-        return b"".join([known[p] for p in pieces])
+            for i, p in held:
+                out[i] = b"".join([known[x] for x in p])
+            held.clear()
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            seen = text.lower() if self.divides else text
+            latin = self.divides and LATIN.fullmatch(text)
+            if not latin and (self.odd.search(text) or "\x00" in text) or any(s in seen for s in self.special):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                continue
+            held.append((i, LATIN_SPLIT.findall(seen) if latin else self._pieces(text)))
+            size += len(text)
+            if size > HELD:
+                flush()
+                size = 0
+        flush()
+        return out
 
 
 @lru_cache(maxsize=4)

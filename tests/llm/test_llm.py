@@ -241,7 +241,7 @@ def test_linked_buckets_of_all_sizes():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_tokenizer(docs, name):
     enc, plain = tokens.PieceEncoder(public_tokenizers.path(name), 2_000), Tokenizer.from_file(public_tokenizers.path(name))
-    texts = [t or "" for t in [*ODD, *docs_text(docs).values(), "  a", "a  b", " \n x", "e ́x", "a\tb c", "<|endoftext|> hi", "x ", "\n\nfoo\n  bar", "don't stop'll", "c\x1c d!", "İ x", "a  b", "tail \n", "a\n\n\nb\n\nc", "7 a7 77 b", "\n7", "x\n y\nz", "Ġa Ċb", "It's THE 'REal (x2) ''s", "Éçrean, é'll ñ… …, <PAD> <pad>", "a'LLb 'tis 've've don't,don't"]]
+    texts = [t or "" for t in [*ODD, *docs_text(docs).values(), "  a", "a  b", " \n x", "e ́x", "a\tb c", "<|endoftext|> hi", "x ", "\n\nfoo\n  bar", "don't stop'll", "c\x1c d!", "İ x", "a  b", "tail \n", "a\n\n\nb\n\nc", "7 a7 77 b", "\n7", "x\n y\nz", "Ġa Ċb", "mañana ÀÉ÷×µºª", "£5 ¡ÑO! <|STARTOFTEXT|>", "It's THE 'REal (x2) ''s", "Éçrean, é'll ñ… …, <PAD> <pad>", "a'LLb 'tis 've've don't,don't"]]
     pool = ["A", "b", "'s", "'LL", "7", "é", "İ", "ß", "…", ",", "!!", "<", ">", "\u0301", "ǅ", "日", " ", " ", "\n"]
     fuzz = random.Random(3)
     texts += ["".join(fuzz.choices(pool, k=30)) for _ in range(2000)]
@@ -251,7 +251,7 @@ def test_encoder_equals_the_tokenizer(docs, name):
 
 def test_store_round_trip(spark, docs, odd):
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    for table in (docs, odd):
+    for table in (docs, odd, docs.limit(0)):
         folder = common.table_path(spark, "test_store")
         token_store.write_store(table, folder, public_tokenizers.path("word_bpe_49k.json"))
         got = token_store.read_store(spark, folder).orderBy("ordinal").collect()
@@ -265,7 +265,48 @@ def test_store_round_trip(spark, docs, odd):
             assert r.start == at and r.n_tokens == len(r.ids) // 4
             at += r.n_tokens
         chunks = spark.read.parquet(f"{folder}/chunks")
-        assert chunks.count() == chunks.select("digest").distinct().count() and spark.read.parquet(f"{folder}/manifests").count() == 1
+        assert chunks.count() == chunks.select("digest").distinct().count() and spark.read.parquet(f"{folder}/manifests").count() == (len(got) > 0)
+
+
+def test_a_damaged_store_is_flagged(spark, docs):
+    """A chunk that is gone or altered flags the documents that use it; a recipe that is gone or altered flags its part."""
+    some = docs.where("doc_id < 60")
+
+    def store():
+        folder = common.table_path(spark, "test_store")
+        token_store.write_store(some, folder, public_tokenizers.path("word_bpe_49k.json"))
+        return folder
+
+    def replace(folder, table, change):
+        d = spark.read.parquet(f"{folder}/{table}")
+        rows = change(d.collect())
+        common.delete(spark, f"{folder}/{table}")
+        spark.createDataFrame(rows, d.schema).write.parquet(f"{folder}/{table}")
+
+    whole = store()
+    victim = max(spark.read.parquet(f"{whole}/recipes").collect(), key=lambda r: len(r.digests))
+    lost = victim.digests[0]
+    users = {r.ordinal for r in spark.read.parquet(f"{whole}/recipes").collect() if lost in r.digests}
+    assert token_store.checked_parts(spark, whole).collect()[0].whole
+    for change in (lambda rows: [r for r in rows if r.digest != lost], lambda rows: [(r.digest, bytes(len(r.ids))) if r.digest == lost else tuple(r) for r in rows]):
+        folder = store()
+        replace(folder, "chunks", change)
+        got = token_store.read_store(spark, folder).collect()
+        assert len(got) == some.count() and {r.ordinal for r in got if not r.verified} == users
+    for change in (lambda rows: rows[1:], lambda rows: [(*r[:4], r.digests[::-1], token_store.merkle_root(r.digests[::-1])) if r.ordinal == victim.ordinal else tuple(r) for r in rows]):
+        folder = store()
+        replace(folder, "recipes", change)
+        assert not any(r.verified for r in token_store.read_store(spark, folder).collect())
+
+
+def test_store_query_reads_what_it_wrote(spark, docs):
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts, at = docs_text(docs), 0
+    got = {r.doc_id: r for r in registry.op3_token_store(spark, SF).collect()}
+    for d in sorted(texts):
+        ids = np.array(plain.encode(texts[d] or "", add_special_tokens=False).ids + [1], dtype="<u4")
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32, got[d].verified) == (at, len(ids), zlib.crc32(ids.tobytes()), True)
+        at += len(ids)
 
 
 def test_chunks_follow_content():
