@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (one machine) an own one."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, an own one on a local master and an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="epistrata-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -84,28 +88,42 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
 
-def bucket_of(key: Column, splits: list[int]) -> Column:
-    """Index of the range that ``key`` lies in: the number of ``splits`` (ascending) that are <= key. Null keys: 0.
+def unused(columns: list[str], *stems: str) -> list[str]:
+    """A name for each stem that no column has, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in stems:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
-    A binary search over an array literal, so its cost is the logarithm of the number of ranges."""
+
+def bucket_of(key: Column, splits: list) -> Column:
+    """Index of the range that ``key`` lies in: the number of ``splits`` (ascending, all long or all double) that are <= key. Null keys: 0.
+
+    A binary search over one array literal, so its cost is the logarithm of the number of ranges."""
     if not splits:
         return F.lit(0)
-    steps = len(splits).bit_length()
-    arr = F.array(*[F.lit(int(s)).cast("long") for s in splits])
+    arr = F.lit(np.array(splits, dtype="float64" if isinstance(splits[0], float) else "int64"))
     n = F.lit(len(splits))
 
     def step(acc, power):
         return F.when((acc + power <= n) & (F.get(arr, acc + power - 1) <= key), acc + power).otherwise(acc)
 
-    powers = F.array(*[F.lit(1 << b) for b in range(steps - 1, -1, -1)])
+    powers = F.lit(np.array([1 << b for b in range(len(splits).bit_length() - 1, -1, -1)], dtype="int32"))
     return F.coalesce(F.aggregate(powers, F.lit(0), step), F.lit(0))
 
 
-def key_splits(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n - 1 distinct ascending boundaries that cut the rows into ranges of about equal counts.
+#: Ranges of an order, at most: their boundaries are what the driver holds and a task's plan carries.
+RANGES = 65_536
+
+
+def key_splits(df: DataFrame, key: str, n: int) -> list:
+    """At most n - 1 distinct ascending boundaries that cut the rows into ranges of about equal counts; ``key`` is a number.
 
-    The driver gets the boundaries only; n is a few thousand at most."""
-    n = max(1, min(n, 4096))
+    The driver gets the boundaries only, RANGES at most."""
+    n = max(1, min(n, RANGES))
     if n == 1:
         return []
     q = df.select(F.percentile_approx(F.col(key), [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"]
@@ -113,4 +131,4 @@ def key_splits(df: DataFrame, key: str, n: int) -> list[int]:
 
 
 def n_buckets(rows: int, each: int) -> int:
-    return max(1, min(4096, -(-rows // each)))
+    return max(1, min(RANGES, -(-rows // each)))

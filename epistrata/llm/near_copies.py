@@ -278,9 +278,12 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Rows alike in doc_id and text are one document."""
 
+    row, own = common.unused(docs.columns, "_row", "_own_id")
+
     def first():
         of_class = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")
-        return classes(docs, text).groupBy("root").agg(of_class).select(F.col("first.row").alias("_row"))
+        return classes(docs, text).groupBy("root").agg(of_class).select(F.col("first.row").alias(row), F.col("first.doc_id").alias(own))
 
-    kept = docs.withColumn("_row", F.xxhash64("doc_id", F.col(text))).join(common.settled(docs.sparkSession, "first", first), "_row", "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+    d, f = docs.withColumn(row, F.xxhash64("doc_id", F.col(text))).alias("d"), common.settled(docs.sparkSession, "first", first).alias("f")
+    kept = d.join(f, (F.col(f"d.{row}") == F.col(f"f.{row}")) & F.col("d.doc_id").eqNullSafe(F.col(f"f.{own}")), "left_semi")
+    return kept.dropDuplicates([row, "doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])

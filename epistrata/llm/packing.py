@@ -93,24 +93,24 @@ def pack(parts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
 
     Full pieces are sequences of their own. The rest is dealt by hash, whatever its document or source, into groups
     of about ``group`` pieces, packed each by the sum-of-squares rule in one task that holds lengths and places
-    only. Reruns agree. ``parts`` is read twice: pass a written table. Empty in, empty out."""
+    only. Reruns agree but for the numbers of full pieces. ``parts`` is read twice: pass a written table. Empty in, empty out."""
     n = parts.where(F.col("length") < length).count()
     groups = max(1, round(n / group))
-    names = parts.columns
-    keyed = parts.withColumn("_group", F.when(F.col("length") == length, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))).cast("long"))
-    full = keyed.where("_group < 0").drop("_group").select("*", (F.lit(1 << 62).bitwiseOR(F.monotonically_increasing_id())).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    names, (group_of,) = parts.columns, common.unused(parts.columns, "_group")
+    keyed = parts.withColumn(group_of, F.when(F.col("length") == length, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))).cast("long"))
+    full = keyed.where(F.col(group_of) < 0).drop(group_of).select("*", (F.lit(1 << 62).bitwiseOR(F.monotonically_increasing_id())).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     def run(table: pa.Table) -> pa.Table:
         # 'doc_id, start, crc' order makes reruns agree, whatever order the rows came in
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32")])
         lengths = table.column("length").to_numpy()
         where, offset = descending(lengths, length)
-        g = table.column("_group")[0].as_py()
-        out = table.drop_columns(["_group"]).append_column("sequence_id", pa.array((np.int64(g) << 32) + where))
+        g = table.column(group_of)[0].as_py()
+        out = table.drop_columns([group_of]).append_column("sequence_id", pa.array((np.int64(g) << 32) + where))
         return out.append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    rest = keyed.where("_group >= 0").groupBy("_group").applyInArrow(run, schema + ", sequence_id long, offset long")
+    rest = keyed.where(F.col(group_of) >= 0).groupBy(group_of).applyInArrow(run, schema + ", sequence_id long, offset long")
     return full.select(*names, "sequence_id", "offset").union(rest.select(*names, "sequence_id", "offset"))
 
 

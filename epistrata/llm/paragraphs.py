@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, passages
 from .components import connected_components
 
 WIDTH, LIKENESS = 5, 0.8
-#: Paragraphs (lines) with fewer words are formulas, headings and the like: left alone.
-MIN_WORDS = 16
+#: What repeats over fewer words than this isn't a duplicate, in a paragraph (line) as in a passage: headings, formulas, stock phrases.
+MIN_WORDS = passages.RUN
 #: Bands of two minima each: a pair of likeness 0.8 shares a band with probability 1 - (1 - 0.64)^8 = 0.9997.
 BANDS, ROWS = 8, 2
 #: Distinct paragraphs of a band compared in one task; larger bands are compared block against block.
 BLOCK = 4096
-SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _rng = np.random.default_rng(12345)
 _A = (_rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -89,11 +87,12 @@ def _verified(table: pa.Table) -> pa.Table:
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
-    """(row, doc_id, paragraph, n_words, cluster, copies, kept): every paragraph that occurs again, in this document or another.
+    """(row, doc_id, paragraph, n_words, cluster, copies, kept, first_doc_id): every paragraph that occurs again, in this document or another.
 
     Paragraphs are lines of at least ``min_words`` words, alike at Jaccard 0.8 or more over five-word shingles (A-Z
     lowered); clusters are connected by such pairs. ``paragraph`` counts lines from 0; ``kept`` marks the first of a cluster
-    by (doc_id, row, paragraph), nulls first, the others are to go. ``row`` tells documents of one doc_id apart.
+    by (doc_id, row, paragraph), nulls first, the others are to go. ``row`` tells documents of one doc_id apart; rows alike in
+    doc_id and text are one document, which comes out once, its ``copies`` counted.
 
     Exact copies share a digest, so bands compare distinct paragraphs. A band with more than BLOCK of them is cut into blocks, and
     pairs of blocks are compared in tasks of their own, so that no pair is left out. Null and empty texts have no
@@ -113,40 +112,48 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") ->
     pairs = members.select("band", "pid", mine.alias("mine"), other.alias("other")).select("band", "pid", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
     edges = pairs.join(sets, "pid").groupBy("band", "x", "y").applyInArrow(_verified, "a binary, b binary").distinct()
     linked = connected_components(edges).select(F.col("node").alias("pid"), F.col("component").alias("of"))
-    narrow = p.select("row", "doc_id", "paragraph", "n_words", "pid").join(linked, "pid", "left").withColumn("of", F.coalesce("of", "pid"))
+    narrow = p.groupBy("row", "doc_id", "paragraph", "n_words", "pid").agg(F.count("*").alias("times")).join(linked, "pid", "left").withColumn("of", F.coalesce("of", "pid"))
     first = F.struct(F.col("doc_id"), F.col("row"), F.col("paragraph"))
-    clusters = narrow.groupBy("of").agg(F.count("*").alias("copies"), F.min(first).alias("first")).where("copies > 1")
+    clusters = narrow.groupBy("of").agg(F.sum("times").alias("copies"), F.min(first).alias("first")).where("copies > 1")
     return narrow.join(clusters, "of").select(
         "row", "doc_id", "paragraph", "n_words", F.lower(F.hex("of")).alias("cluster"), "copies", (first == F.col("first")).alias("kept"), F.col("first.doc_id").alias("first_doc_id"))
 
 
-def _cleaned(column: int):
+def _cleaned(column: int, flag: str):
+    """Takes the lines and spans of the last two columns out of the texts; ``flag`` says whether something was."""
+
     def run(batches):
         for b in batches:
             lines, spans = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
-            if lines.null_count < b.num_rows or spans.null_count < b.num_rows:
+            less = pc.or_(lines.is_valid(), spans.is_valid())
+            if pc.any(less).as_py():
                 texts = [
                     passages.cut(t, set(x or []), [(s["start"], s["n_words"]) for s in y or []]) if x or y else t
                     for t, x, y in zip(*(b.column(c).to_pylist() for c in (column, b.num_columns - 2, b.num_columns - 1)))]
                 b = b.set_column(column, b.schema.field(column), pa.array(texts, b.column(column).type))
-            yield b.drop_columns(["_gone", "_cut"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], less], names=[*b.schema.names[:-2], flag])
 
     return run
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
     """``docs`` without the later occurrences of repeated paragraphs and of passages (``passages``). Both keep the first by one order, so
-    something of every kind stays. A document of which nothing but white space is left goes, if something was removed from it."""
+    something of every kind stays. A document of which nothing but white space is left goes, if something was removed from it.
+    Rows alike in doc_id and text are one document and come out once, with the other columns of one of them."""
+    row, own, less, gone_lines, gone_spans = common.unused(docs.columns, "_row", "_own_id", "_less", "_gone", "_cut")
 
     def later():
-        spans = common.settled(docs.sparkSession, "passages", lambda: passages.repeated(docs, text).where("not kept").select("row", "start", "n_words"))
-        lines = repeated(docs, min_words, text).where("not kept").groupBy("row").agg(F.collect_set("paragraph").alias("_gone"))
-        spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "n_words")).alias("_cut"))
-        return lines.join(spans, "row", "full").withColumnRenamed("row", "_gone_row")
-
-    gone = common.settled(docs.sparkSession, "gone", later)
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.col(text)))
-    joined = rows.join(gone, F.col("_row") == F.col("_gone_row"), "left").select(*docs.columns, (F.col("_gone_row").isNotNull()).alias("_less"), "_gone", "_cut")
+        spans = common.settled(docs.sparkSession, "passages", lambda: passages.repeated(docs, text).where("not kept").select("row", "doc_id", "start", "n_words"))
+        lines = repeated(docs, min_words, text).where("not kept").groupBy("row", "doc_id").agg(F.collect_set("paragraph").alias(gone_lines))
+        spans = spans.groupBy("row", "doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias(gone_spans))
+        a, b = lines.alias("a"), spans.alias("b")
+        both = a.join(b, (F.col("a.row") == F.col("b.row")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "full")
+        return both.select(F.coalesce("a.row", "b.row").alias(row), F.coalesce("a.doc_id", "b.doc_id").alias(own), gone_lines, gone_spans)
+
+    gone = common.settled(docs.sparkSession, "gone", later).alias("g")
+    d = docs.withColumn(row, F.xxhash64("doc_id", F.col(text))).dropDuplicates([row, "doc_id"]).alias("d")
+    joined = d.join(gone, (F.col(f"d.{row}") == F.col(f"g.{row}")) & F.col("d.doc_id").eqNullSafe(F.col(f"g.{own}")), "left")
+    joined = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], gone_lines, gone_spans)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    cleaned = joined.mapInArrow(_cleaned(docs.columns.index(text)), f"{types}, _less boolean")
-    return cleaned.where(~F.col("_less") | F.col(text).rlike(common.WORD)).select(*docs.columns)
+    cleaned = joined.mapInArrow(_cleaned(docs.columns.index(text), less), f"{types}, {less} boolean")
+    return cleaned.where(~F.col(less) | F.col(text).rlike(common.WORD)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -147,7 +147,8 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     Words are as in ``paragraphs`` (A-Z lowered). ``start`` counts a text's words from 0, ``paragraph`` is the line of the first.
     A window's first occurrence by (doc_id, row, start), nulls first, is kept, the others are to go. A passage is a longest
     stretch of windows whose first occurrences also follow one another; ``cluster`` is the hash of where these begin, ``copies``
-    the most occurrences that one of them has. Rows alike in doc_id and text have one ``row`` and are kept or not together."""
+    the most occurrences that one of them has. Rows alike in doc_id and text are one document, which comes out once, its
+    windows counted for each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select(F.xxhash64("doc_id", F.col(text)).alias("row"), "doc_id", F.col(text).alias("text"))
     marked = common.written(given.select("row", "text").mapInArrow(_marked, "row long, marks array<long>"), "marks")
@@ -175,7 +176,7 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
         "row", "doc_id", (F.col("pos") + F.col("off")).alias("pos"), F.col("piece").alias("n"),
         (F.col("line") + F.size(F.filter("breaks", lambda x: x <= F.col("off")))).cast("int").alias("line"), F.xxhash64("first.doc_id", "first.row", "first.pos").alias("cluster"),
         "copies", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos"))
-    return found.dropDuplicates(["row", "pos"]).repartition("row").sortWithinPartitions("row", "pos").mapInArrow(
+    return found.dropDuplicates(["row", "doc_id", "pos"]).repartition("row").sortWithinPartitions("row", "pos").mapInArrow(
         _joined, f"row long, doc_id {kind}, paragraph int, start int, n_words int, cluster long, copies long, kept boolean, first_doc_id {kind}")
 
 

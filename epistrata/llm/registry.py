@@ -85,7 +85,7 @@ def op10_sharding(spark, sf_dir):
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+         md5(coalesce(doc_id::VARCHAR, text, '')) AS k FROM documents),
 totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (
@@ -101,16 +101,26 @@ level AS (
 targets AS (
   SELECT source, source_size, least(cap, weight * level) AS target FROM shares, level),
 queued AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target)::BIGINT AS goal,
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, floor(t.target)::BIGINT AS goal, row_number() OVER () AS id,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, goal - begun)) + greatest(0, least(size, goal - begun - source_size))
-        + greatest(0, least(size, goal - begun - 2 * source_size)))::BIGINT AS taken
-FROM queued
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+copies AS (
+  SELECT id, source, size, target, goal, begun + e.range * source_size AS a FROM queued, range(3) e),
+cut AS (
+  SELECT *, a + size AS b, least(greatest(a, goal), a + size) AS c FROM copies),
+fragments AS (
+  SELECT id, source, a AS word, c - a AS words, c / target AS finish FROM cut WHERE c > a UNION ALL
+  SELECT id, source, c, b - c, b / target FROM cut WHERE b > c),
+finished AS (
+  SELECT id, words, coalesce(sum(words) OVER (ORDER BY finish, source NULLS LAST, word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM fragments),
+served AS (
+  SELECT id, sum(greatest(0, least(words, (SELECT sum(source_size) FROM totals) - ahead)))::BIGINT AS taken FROM finished GROUP BY 1)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM queued LEFT JOIN served USING (id)
 """
 
 
+
 def _op7_sql() -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lowered = f"translate(coalesce(text, ''), '{common.ASCII_UPPER}', '{common.ASCII_LOWER}')"
@@ -121,18 +131,20 @@ def _op7_sql() -> str:
         starts.append(f"list_filter(range(len(w)), lambda i: {hit}) AS \"p_{label}\"")
     names = [f'"p_{x}"' for x in licenses.PHRASES]
     labels = ", ".join(f"CASE WHEN len({n}) > 0 THEN '{x}' END" for n, x in zip(names, licenses.PHRASES))
-    scores = []
-    for label, t in licenses.TEMPLATES:
-        tokens = sorted(set(t.split()))
-        scores.append(f"SELECT doc_id, '{label}' AS label, len(list_intersect(list_distinct(regexp_extract_all(b, '{word}')), {quoted(tokens)})) / {len(tokens)}.0 AS score FROM blocks")
+    hits = []
+    for t in licenses.parsed():
+        tokens, n = quoted(t["tokens"]), len(t["tokens"])
+        held = f"list_intersect({tokens}, w[s + 1:s + {t['length']}])"
+        must = f"len(list_intersect({quoted(t['must'])}, w[s + 1:s + {t['length']}])) = {len(t['must'])}"
+        hits.append(f"""SELECT doc_id, '{t['label']}' AS label, list_max(list_transform(list_filter(range(len(w)), lambda s: list_contains({tokens}, w[s + 1])),
+    lambda s: CASE WHEN {must} THEN len({held}) ELSE 0 END)) / {n}.0 AS score FROM words WHERE len(list_intersect({tokens}, w)) >= {t['need']}""")
     return f"""
 WITH d AS (SELECT doc_id, {lowered} AS t FROM documents),
 words AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w FROM d),
 base AS (SELECT doc_id, w, {', '.join(starts)} FROM words),
 places AS (SELECT doc_id, len(w)::BIGINT AS n_words, list_concat({', '.join(names)}) AS spots,
                   list_filter([{labels}], lambda x: x IS NOT NULL) AS bl FROM base),
-blocks AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS b FROM d),
-hits AS (SELECT doc_id, list(DISTINCT label) AS ml, max(score) AS best FROM ({' UNION ALL '.join(scores)}) WHERE score >= {licenses.CONTAINMENT} GROUP BY doc_id)
+hits AS (SELECT doc_id, list(DISTINCT label) AS ml, max(score) AS best FROM ({' UNION ALL '.join(hits)}) WHERE score >= {licenses.CONTAINMENT} GROUP BY doc_id)
 SELECT p.doc_id, n_words, len(spots)::BIGINT AS n_base, list_min(spots)::BIGINT AS first_word, list_max(spots)::BIGINT AS last_word,
        array_to_string(list_sort(bl), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(bl, coalesce(ml, [])))), ',') AS labels,

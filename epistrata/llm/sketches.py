@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,29 +65,32 @@ def as_string(s: Column) -> Column:
 
 
 def with_next(docs: DataFrame, columns: list[str], each: int = 2000) -> DataFrame:
-    """``docs`` (doc_id and more) with ``next``: a struct of ``columns`` of the row next in ascending doc_id order (nulls first), after the last the first.
+    """``docs`` (doc_id, a number, and more) with ``next``: a struct of ``columns`` of the row next in ascending doc_id order (nulls first),
+    after the last the first; rows of one doc_id by the other columns. A column called ``next`` gives way.
 
-    Ranges of doc_id are ordered each by itself; the first row of a range is sent to the range before it as well."""
+    Ranges of doc_id are ordered each by itself; the first row of a range is sent to the range before it as well. Of the ranges only
+    their first ids reach the driver."""
+    names = [c for c in docs.columns if c != "next"]
+    here, sent_to, own = common.unused(docs.columns, "_b", "_s", "_own")
     n = docs.count()
     splits = common.key_splits(docs, "doc_id", common.n_buckets(n, each))
-    b = docs.withColumn("_b", common.bucket_of(F.col("doc_id"), splits)).withColumn("_own", F.lit(1))
-    ids = b.groupBy("_b").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null_first")).orderBy("_b").collect()  # one row per range
-    starts = {r["_b"]: (None if r["null_first"] else r["first"]) for r in ids}
-    order = sorted(starts)
-    lead = {order[i]: order[i - 1] for i in range(len(order))}  # range -> the range before it; the first's is the last
-    if not order:
-        return docs.withColumn("next", F.lit(None).cast(f"struct<{','.join(f'{c}:{docs.schema[c].dataType.simpleString()}' for c in columns)}>"))
-    first_id = F.element_at(F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v if v is not None else 0)]), F.col("_b"))
-    is_first = F.col("doc_id") == first_id
-    if any(v is None for v in starts.values()):
-        is_first = F.col("doc_id").isNull() | (is_first & (F.col("_b") != order[0]))
-    to = F.element_at(F.create_map(*[F.lit(x) for kv in lead.items() for x in kv]), F.col("_b"))
+    b = docs.select(*[F.col(f"`{c}`") for c in names], common.bucket_of(F.col("doc_id"), splits).alias(here))
+    ids = b.groupBy(here).agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null_first")).orderBy(here).collect()  # one row per range
+    if not ids:
+        return docs.select(*names, F.lit(None).cast(f"struct<{','.join(f'{c}:{docs.schema[c].dataType.simpleString()}' for c in columns)}>").alias("next"))
+    order = [r[here] for r in ids]
+    lead = F.lit(np.array([order[i - 1] for i in range(len(order))], dtype="int32"))  # the range before; the first's is the last
+    firsts = F.lit(np.array([r["first"] or 0 for r in ids], dtype="int64"))
+    place = common.bucket_of(F.col(here), order) - 1
+    is_first = F.col("doc_id") == F.get(firsts, place)
+    if ids[0]["null_first"]:  # nulls lie in the first range
+        is_first = F.when(F.col(here) == order[0], F.col("doc_id").isNull()).otherwise(is_first)
     # a copy of each range's first rows goes to the end of the range before
-    sent = F.when(is_first, F.array(F.struct(F.col("_b").alias("b"), F.lit(1).alias("own")), F.struct(to.alias("b"), F.lit(0).alias("own")))).otherwise(
-        F.array(F.struct(F.col("_b").alias("b"), F.lit(1).alias("own"))))
-    rows = b.select(*docs.columns, F.explode(sent).alias("_s")).select(*docs.columns, F.col("_s.b").alias("_b"), F.col("_s.own").alias("_own"))
-    w = Window.partitionBy("_b").orderBy(F.col("_own").desc(), F.col("doc_id").asc_nulls_first(), *[c for c in columns if c != "doc_id"])
-    return rows.select(*docs.columns, "_own", F.lead(F.struct(*columns)).over(w).alias("next")).where("_own = 1").drop("_own")
+    to = lambda c, is_own: F.struct(c.alias("b"), F.lit(is_own).alias("own"))
+    mine, other = to(F.col(here), 1), to(F.get(lead, place), 0)
+    rows = b.select(*names, F.explode(F.when(is_first, F.array(mine, other)).otherwise(F.array(mine))).alias(sent_to)).select(*names, F.col(f"{sent_to}.b").alias(here), F.col(f"{sent_to}.own").alias(own))
+    w = Window.partitionBy(here).orderBy(F.col(own).desc(), F.col("doc_id").asc_nulls_first(), *[c for c in columns if c != "doc_id"])
+    return rows.select(*names, own, F.lead(F.struct(*columns)).over(w).alias("next")).where(F.col(own) == 1).drop(own)
 
 
 def edited(text: Column, n_chars: Column, following: Column) -> Column:

@@ -91,7 +91,8 @@ def test_mix_reaches_targets_in_order(docs):
     for r in rows:
         assert r.size == len(words(docs_text(docs)[r.doc_id])) and 0 <= r.taken <= 3 * r.size and r.taken == sum(c.served for c in r.copies)
         by.setdefault(r.source, [0, r.target, r.source_size])[0] += r.taken
-    assert all(t == math.floor(target) for t, target, _ in by.values())
+    assert all(0 <= t - math.floor(target) < len(by) for t, target, _ in by.values())
+    assert sum(t for t, *_ in by.values()) == sum(n for *_, n in by.values())
     order = [r.vfinish for r in mixing.mix(docs).collect()]
     assert order == sorted(order)
 
@@ -339,7 +340,8 @@ def test_repeated_paragraphs(spark):
 
 
 def test_repeated_paragraphs_against_all_pairs(spark, docs):
-    lines = [(i, k, words(lower(x))) for i, t in docs_text(docs).items() for k, x in enumerate((t or "").split("\n")) if len(words(x)) >= paragraphs.MIN_WORDS]
+    least = 16
+    lines = [(i, k, words(lower(x))) for i, t in docs_text(docs).items() for k, x in enumerate((t or "").split("\n")) if len(words(x)) >= least]
     sets = [frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) for _, _, w in lines]
     holders = {}
     for i, s in enumerate(sets):
@@ -358,7 +360,7 @@ def test_repeated_paragraphs_against_all_pairs(spark, docs):
             parent[y] = x
     size = Counter(map(find, range(len(lines))))
     want = {(lines[i][0], lines[i][1]): size[find(i)] for i in range(len(lines)) if size[find(i)] > 1}
-    got = {(r.doc_id, r.paragraph): r.copies for r in paragraphs.repeated(docs).collect()}
+    got = {(r.doc_id, r.paragraph): r.copies for r in paragraphs.repeated(docs, least).collect()}
     assert got == want
 
 
@@ -395,6 +397,41 @@ def test_passages_against_all_runs_of_51_words(spark, docs):
     assert got == want and len(want) > 100
 
 
+def test_rows_alike_are_one_document(spark):
+    """Two rows of one doc_id and text: one is kept, once; another document with the text loses it."""
+    rng = random.Random(4)
+    one, two = (" ".join(f"k{rng.randrange(10**9)}" for _ in range(60)) for _ in range(2))
+    d = spark.createDataFrame([(1, one, "en", "s", 1), (1, one, "en", "s", 1), (None, two, "en", "s", 1), (None, two, "en", "s", 1), (7, "own words here\n" + one, "en", "s", 1)], SCHEMA)
+    got = sorted(((r.doc_id or 0, r.kept, r.copies) for r in paragraphs.repeated(d).collect()))
+    assert got == [(0, True, 2), (1, True, 3), (7, False, 3)]
+    got = sorted(((r.doc_id or 0, r.n_words, r.kept, r.copies) for r in passages.repeated(d).collect()))
+    assert got == [(0, 60, True, 2), (1, 60, True, 3), (7, 60, False, 3)]
+    left = sorted((r.doc_id or 0, r.text) for r in paragraphs.without_repeats(d).collect())
+    assert left == [(0, two), (1, one), (7, "own words here")]
+
+
+def test_clashing_names_keep_their_values(spark, docs):
+    """Columns named like an operator's own come back with their own values."""
+    names = ("_row", "_k", "_gone", "_cut", "_less", "_own_id", "_group", "_b", "_s", "_own", "row", "of", "k", "size")
+    d = docs.where("doc_id < 40")
+    for c in names:
+        d = d.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    for made in (near_copies.deduplicated(d), paragraphs.without_repeats(d), mixing.mixed_documents(d), sketches.with_next(d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *names), ["doc_id", "text"])):
+        rows = made.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+
+
+def test_a_cluster_needs_the_shared_folder(spark):
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Cluster)
+
+
 def test_a_passage_goes_whatever_surrounds_it(spark):
     rng = random.Random(9)
     fresh = lambda n: [f"g{rng.randrange(10**9)}" for _ in range(n)]
@@ -451,9 +488,18 @@ def test_next_row_with_ties_and_nulls(spark):
         assert got == Counter([("n1", "n2"), ("n2", "c"), ("c", "a"), ("a", "b"), ("b", "d"), ("d", "d"), ("d", "n1")])
 
 
+GRANT = """Permission is hereby granted, free of charge, to any
+person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal"""
+
+
 def test_license_scan(spark, docs):
-    extra = [(9001, "X under the MIT license, Under the mit licence. apache-license version 2;", "en", "s", 1), (9002, "Released UNDER the nice MIT License", "en", "s", 1),
-             (9003, "cc by\nnc cc-by-nc", "en", "s", 1), (9004, None, "en", "s", 1), (9005, "", "en", "s", 1), (9006, "this work is licensed under gnu general public license version 3", "en", "s", 1)]
+    """Against every block of every length by brute force, with notices across line breaks and look-alikes."""
+    bsd = next(t for _, m, t in licenses.TEMPLATES if m == "redistributions binary")
+    made = ["X under the MIT license, Under the mit licence. apache-license version 2;", "Released UNDER the nice MIT License", "cc by\nnc cc-by-nc", None, "", "this work is licensed under gnu general public license version 3",
+            "Copyright someone\n\n" + GRANT, "# " + GRANT.replace("\n", "\n# "), "word " * 40 + "\n".join(bsd.split()) + " word" * 40, "Released under the Apache License", "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0",
+            "permission is " + "and " * 40 + "hereby granted free of charge to any person obtaining", "the mit " * 30]
+    extra = [(9001 + i, t, "en", "s", 1) for i, t in enumerate(made)]
     got = {r.doc_id: r for r in licenses.scan(docs.union(spark.createDataFrame(extra, SCHEMA))).collect()}
     texts = docs_text(docs) | {r[0]: r[1] for r in extra}
     for d, t in texts.items():
@@ -465,17 +511,18 @@ def test_license_scan(spark, docs):
             at += here
             base |= {label} if here else set()
         found, best = set(base), 1.0 if base else 0.0
-        for line in lower(t).split("\n"):
-            block = set(re.findall(licenses.WORD, line))
-            for label, p in licenses.TEMPLATES:
-                share = len(block & set(p.split())) / len(set(p.split()))
-                if share >= licenses.CONTAINMENT:
+        for label, must, notice in licenses.TEMPLATES:
+            v = re.findall(licenses.WORD, notice.lower())
+            for i in range(len(w)):
+                block = set(w[i : i + math.ceil(1.25 * len(v))])
+                share = len(block & set(v)) / len(set(v))
+                if share >= licenses.CONTAINMENT and set(must.split()) <= block:
                     found.add(label)
                     best = max(best, share)
         r = got[d]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
         assert (r.base_labels, r.labels, round(r.score, 9)) == (",".join(sorted(base)), ",".join(sorted(found)), round(best, 9))
-    assert got[9002].labels == "mit" and got[9006].labels == "gpl-3"
+    assert [got[9001 + i].labels for i in (1, 5, 6, 7, 8, 9, 10, 11, 12)] == ["mit", "gpl-3", "mit", "mit", "bsd", "", "", "", ""]
 
 
 def test_packing(spark, docs, odd):
@@ -560,13 +607,15 @@ def test_suffix_array_and_prefixes():
 
 def test_sharding(spark, docs, odd):
     copies = spark.createDataFrame([(50_000 + i, "hot copy " * 40, "en", "s", 1) for i in range(400)], SCHEMA)
-    for table in (docs, docs.union(copies), odd):
+    lost = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a copy without id").alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))])
+    same = spark.range(2_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("one id " * 9).alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))])
+    for table in (docs, docs.union(copies), odd, lost, same, docs.union(lost)):
         rows = sharding.shard(table).collect()
         assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter(
             (d.doc_id, len((d.text or "").encode()) + 1, zlib.crc32((d.text or "").encode())) for d in table.select("doc_id", "text").collect())
         sizes = [sum(r.size for r in rows if r.shard == s) for s in range(8)]
         largest = max(r.size for r in rows)
-        assert max(sizes) - min(sizes) <= 2 * largest + 0.02 * sum(sizes)
+        assert max(sizes) - min(sizes) <= 2 * largest + 0.005 * sum(sizes)
         for s in range(8):
             assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
