@@ -24,40 +24,61 @@ _A = (_rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64) << np.uint64(1))
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of a paragraph's word shingles; fewer words: the whole."""
-    h = xxhash.xxh32_intdigest
-    if len(words) <= width:
-        return np.array([h(b" ".join(words))], dtype=np.uint32)
-    return np.unique(np.array([h(b" ".join(t)) for t in zip(*(words[i:] for i in range(width)))], dtype=np.uint32))
-
-
-def bands(s: np.ndarray) -> np.ndarray:
-    """A signed 64-bit key per band."""
-    x = s.astype(np.uint64)
+def shingle_sets(paragraphs: list[list[bytes]], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct 32-bit hashes of each paragraph's word shingles in turn, ascending within; where each begins). Fewer words: the whole."""
+    sizes = np.array([len(w) for w in paragraphs], dtype=np.int64)
+    words = passages.word_hashes([w for p in paragraphs for w in p])
+    of, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+    keys = []
+    for k in {min(width, int(n)) for n in sizes}:
+        g = passages.hashes(words, k)
+        at = np.flatnonzero((np.arange(len(g)) + k <= ends[of[: len(g)]]) & (np.minimum(width, sizes[of[: len(g)]]) == k))
+        keys.append((of[at].astype(np.uint64) << np.uint64(32)) | (g[at] >> np.uint64(32)))
+    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.uint64)
+    return key.astype(np.uint32), np.searchsorted(key >> np.uint64(32), np.arange(len(sizes)))
+
+
+def bands(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of signed 64-bit keys, one per band, for each of the sets that begin at ``starts``."""
+    x = sets.astype(np.uint64)
     x ^= x << np.uint64(32)
-    m = ((x[None, :] * _A[:, None] + _B[:, None]) >> np.uint64(16)).min(axis=1).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        key = (key ^ m[:, r]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(31)
-    return key.view(np.int64)
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(starts), 1))
+    for band in range(BANDS):
+        for r in range(band * ROWS, band * ROWS + ROWS):
+            keys[:, band] = (keys[:, band] ^ np.minimum.reduceat((x * _A[r] + _B[r]) >> np.uint64(16), starts)) * np.uint64(0x9E3779B97F4A7C15)
+            keys[:, band] ^= keys[:, band] >> np.uint64(31)
+    return keys.view(np.int64)
 
 
 def _paragraphs(min_words: int):
+    """A paragraph's shingles and bands come where the task meets its words for the first time."""
+
     def run(batches):
+        seen = set()
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                part, out = b.slice(k, 256), []
-                for row, doc, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                part, out, new = b.slice(k, 256), [], []
+                for at, t in enumerate(part.column(2)):
                     for i, line in enumerate((t.as_py() or "").encode().lower().split(b"\n")):
                         words = line.split()
-                        if len(words) >= min_words:
-                            s = shingles(words)
-                            out.append((row, doc, i, len(words), xxhash.xxh3_128_digest(b" ".join(words)), s.tobytes(), bands(s)))
-                cols = list(zip(*out)) or [[]] * 7
-                types = [pa.int64(), part.column(1).type, pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["row", "doc_id", "paragraph", "n_words", "pid", "shingles", "bands"])
+                        if len(words) >= max(1, min_words):
+                            pid = xxhash.xxh3_128_digest(b" ".join(words))
+                            out.append((at, i, len(words), pid, pid not in seen))
+                            if pid not in seen:
+                                new.append(words)
+                                if len(seen) < 1_000_000:
+                                    seen.add(pid)
+                sets, starts = shingle_sets(new)
+                keys = iter(bands(sets, starts)) if new else None
+                ends = [*starts[1:].tolist(), len(sets)] if new else []
+                raw = sets.tobytes()
+                first = iter([raw[4 * x : 4 * y] for x, y in zip(starts.tolist(), ends)])
+                at, line, n, pid, fresh = (list(c) for c in zip(*out)) if out else ([], [], [], [], [])
+                rows = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(line, pa.int32()), pa.array(n, pa.int32()), pa.array(pid, pa.binary()),
+                     pa.array([next(first) if f else None for f in fresh], pa.binary()), pa.array([next(keys) if f else None for f in fresh], pa.list_(pa.int64()))],
+                    names=["row", "doc_id", "paragraph", "n_words", "pid", "shingles", "bands"])
 
     return run
 
@@ -106,7 +127,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") ->
     # bands with more than one distinct paragraph, and how many blocks they take
     crowded = in_band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = common.written(in_band.join(crowded, "band"), "banded")
-    sets = p.join(members.select("pid").distinct(), "pid", "left_semi").groupBy("pid").agg(F.first("shingles").alias("shingles"))
+    sets = p.where("shingles is not null").join(members.select("pid").distinct(), "pid", "left_semi").groupBy("pid").agg(F.first("shingles").alias("shingles"))
     mine = F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = members.select("band", "pid", mine.alias("mine"), other.alias("other")).select("band", "pid", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))

@@ -1,7 +1,7 @@
 """Repeated passages: runs of 51 words or more that stand in two places, whatever surrounds them and however lines break.
 
-Every window of 51 words has the least hash among its 27 runs of 25 words as its mark (winnowing), so equal windows have equal
-marks. Only windows whose mark stands in two places are hashed whole; equal hashes are equal windows. Neighbouring windows of one
+The paragraphs compared here are all windows of 51 words, at every place of a text. A window's band is one minimum, the least hash among
+its 40 runs of 12 words (MinHash over them, as in winnowing), so equal windows have equal marks. Only windows whose mark stands in two places are hashed whole; equal hashes are equal windows. Neighbouring windows of one
 mark travel as a stretch, and stretches alike as one; windows are compared one by one only where a mark has stretches that differ."""
 
 from __future__ import annotations
@@ -16,15 +16,25 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of a window, and of the runs that mark it.
-RUN, GRAM = 51, 25
+#: Words of a window, and of the runs that mark it: shorter runs make fewer marks, but more that windows unlike share by chance.
+RUN, GRAM = 51, 12
 WINDOW = RUN - GRAM + 1
+#: Texts whose words are hashed in one array.
+TEXTS = 64
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in (text or "").encode().lower().split()], dtype=np.uint64)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    h = xxhash.xxh3_64_intdigest
+    return np.fromiter((h(w) for w in words), dtype=np.uint64, count=len(words))
+
+
+def joined_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(word hashes of all texts in turn, ends of the texts, their lowered bytes)."""
+    raw = [(t or "").encode().lower() for t in texts]
+    words = [t.split() for t in raw]
+    return word_hashes([w for x in words for w in x]), np.cumsum([len(x) for x in words]), raw
 
 
 def hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -51,63 +61,92 @@ def _sliding(x: np.ndarray, k: int, least) -> np.ndarray:
     return least(x[:n], x[k - size : k - size + n])
 
 
-def marks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(mark of every window, hashes of all runs that are some window's mark)."""
+def marks(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mark of the window at every word, whether a text holds that window whole, places of the runs that are such a window's mark)
+    for the words of texts in turn that end at ``ends``."""
+    none = np.zeros(0, dtype=np.int64)
     if len(words) < RUN:
-        return (np.zeros(0, dtype=np.uint64),) * 2
+        return none.astype(np.uint64), none.astype(bool), none
     g = hashes(words, GRAM)
     mark = _sliding(g, WINDOW, np.minimum)
-    return mark, g[g <= _sliding(np.pad(mark, WINDOW - 1), WINDOW, np.maximum)]
+    last = np.repeat(ends, np.diff(np.r_[0, ends]))[: len(mark)]
+    whole = np.arange(len(mark)) + RUN <= last
+    return mark, whole, np.flatnonzero(g <= _sliding(np.pad(np.where(whole, mark, 0), WINDOW - 1), WINDOW, np.maximum))
 
 
 def _marked(batches):
     """A mark comes once per text, twice if it stands there more than once."""
     for b in batches:
-        out = []
-        for t in b.column(1):
-            found, n = np.unique(marks(word_hashes(t.as_py()))[1], return_counts=True)
-            out.append(np.r_[found, found[n > 1]].view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["row", "marks"])
-
-
-def stretches(mark: np.ndarray, hashed: np.ndarray, some: np.ndarray) -> list[tuple[int, int]]:
-    """(start, length) of the windows with a mark among ``some``: at most RUN neighbours of one mark, so that the first and
-    the last hold all words between; windows one by one where two of such a stretch are equal."""
-    p = np.flatnonzero(np.isin(mark, some))
-    out = []
-    for run in np.split(p, np.flatnonzero((p[1:] != p[:-1] + 1) | (mark[p[1:]] != mark[p[:-1]])) + 1):
-        for i in range(0, len(run), RUN):
-            at, n = int(run[i]), len(run[i : i + RUN])
-            out += [(at, n)] if len(set(hashed[at : at + n].tolist())) == n else [(at + k, 1) for k in range(n)]
-    return out
+        for k in range(0, b.num_rows, TEXTS):
+            part = b.slice(k, TEXTS)
+            words, ends, _ = joined_hashes(part.column(1).to_pylist())
+            at = marks(words, ends)[2]
+            of = np.searchsorted(ends, at, side="right")
+            g = hashes(words, GRAM)[at] if len(at) else np.zeros(0, dtype=np.uint64)
+            order = np.lexsort((g, of))
+            of, g = of[order], g[order]
+            if len(g):
+                first = np.r_[True, (of[1:] != of[:-1]) | (g[1:] != g[:-1])]
+                first[1:] |= first[:-1]  # the second one stays, too
+                of, g = of[first], g[first]
+            offsets = np.searchsorted(of, np.arange(part.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(g.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["row", "marks"])
+
+
+def stretches(mark: np.ndarray, at: np.ndarray, of: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, length) of stretches among the windows at ``at``, as places in ``at``: at most RUN neighbours of one mark and text, so that the
+    first and the last hold all words between; windows one by one where a text's windows aren't all different."""
+    if not len(at):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    new = np.r_[True, (at[1:] != at[:-1] + 1) | (mark[at[1:]] != mark[at[:-1]]) | (of[1:] != of[:-1])]
+    run = np.flatnonzero(new)
+    place = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+    order = np.lexsort((hashed[at], of))
+    h, o = hashed[at][order], of[order]
+    again = np.unique(o[1:][(h[1:] == h[:-1]) & (o[1:] == o[:-1])])
+    first = np.flatnonzero(new | (place % RUN == 0) | np.isin(of, again))
+    return first, np.diff(np.r_[first, len(at)])
 
 
 def _stretches(batches):
     """A stretch's windows come where the task meets its words for the first time."""
-    kind = pa.list_(pa.int64())
     seen = set()
     for b in batches:
-        for k in range(0, b.num_rows, 64):
-            part, out, at = b.slice(k, 64), [], []
-            for i, (t, some) in enumerate(zip(part.column(2), part.column(3))):
-                text = t.as_py()
-                words = word_hashes(text)
-                mark, hashed = marks(words)[0], hashes(words, RUN)
-                starts = np.cumsum([len(x.split()) for x in text.encode().split(b"\n")])  # of the lines after the first
-                for start, n in stretches(mark, hashed, some.values.to_numpy().view(np.uint64)):
-                    h = hashed[start : start + n]
-                    span = xxhash.xxh3_64_intdigest(h[[0, -1]].tobytes(), n)
-                    fresh = span not in seen
-                    if fresh and len(seen) < 1_000_000:
-                        seen.add(span)
-                    first, last = np.searchsorted(starts, [start, start + n - 1], side="right")
-                    at.append(i)
-                    out.append((start, n, first, (starts[first:last] - start).tolist(), mark[start], span, h.view(np.int64).tolist() if fresh else None))
-            cols = list(zip(*out)) or [[]] * 7
-            signed = lambda c: pa.array(np.array(c, dtype=np.uint64).view(np.int64))
-            rows = pa.array(at, pa.int32())
+        for k in range(0, b.num_rows, TEXTS):
+            part = b.slice(k, TEXTS)
+            words, ends, raw = joined_hashes(part.column(2).to_pylist())
+            mark, whole, _ = marks(words, ends)
+            some = np.unique(part.column(3).flatten().to_numpy().view(np.uint64))
+            at = np.flatnonzero(whole & np.isin(mark, some))  # a mark that stands in two places does so for every text
+            hashed = hashes(words, RUN)
+            of = np.searchsorted(ends, at, side="right")
+            first, n = stretches(mark, at, of, hashed)
+            start, of = at[first], of[first]
+            begin = np.r_[0, ends][of]
+            lines = np.cumsum([len(x.split()) for t in raw for x in t.split(b"\n")])  # where each line ends
+            n_lines = np.cumsum([t.count(b"\n") + 1 for t in raw])
+            before = np.r_[0, n_lines][of]
+            line = np.minimum(np.maximum(np.searchsorted(lines, start, side="right"), before), n_lines[of] - 1)
+            past = np.minimum(np.searchsorted(lines, start + n - 1, side="right"), n_lines[of] - 1)
+            breaks = past - line
+            ranges = lambda lo, size: np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.zeros(0, dtype=np.int64)
+            cuts = lines[ranges(line, breaks)] - np.repeat(start, breaks) if len(start) else np.zeros(0, dtype=np.int64)
+            span = (hashed[start] * np.uint64(_BASE) ^ hashed[start + n - 1]) * _MIX + n.astype(np.uint64) * np.uint64(_BASE)
+            span ^= span >> np.uint64(31)
+            fresh = []
+            for x in span.tolist():
+                new = x not in seen
+                fresh.append(new)
+                if new and len(seen) < 1_000_000:
+                    seen.add(x)
+            sent = np.where(np.array(fresh, dtype=bool), n, 0)
+            flat = hashed[ranges(start, sent)] if len(start) else np.zeros(0, dtype=np.uint64)
+            lists = lambda sizes, values, kind, mask=None: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, kind), mask=mask)
+            rows = pa.array(of, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(rows), part.column(1).take(rows), *(pa.array(c, pa.int32()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int32())), signed(cols[4]), signed(cols[5]), pa.array(cols[6], kind)],
+                [part.column(0).take(rows), part.column(1).take(rows), pa.array(start - begin, pa.int32()), pa.array(n, pa.int32()), pa.array(line - before, pa.int32()),
+                 lists(breaks, cuts, pa.int32()), pa.array(mark[start].view(np.int64)), pa.array(span.view(np.int64)), lists(sent, flat.view(np.int64), pa.int64(), pa.array(sent == 0))],
                 names=["row", "doc_id", "pos", "n", "line", "breaks", "mark", "span", "windows"])
 
 
