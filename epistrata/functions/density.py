@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stats import binom_tail
+
 NAN = float("nan")
 
 
@@ -23,20 +25,8 @@ def strand_fits(region: Column, own: Column) -> Column:
 
 
 def binom_sf(m: Column, n: Column, p: Column) -> Column:
-    """P(X >= m) for X ~ Binomial(n, p), without Python: terms by their logarithms. 1 at m = 0; p outside (0, 1) by its limits.
-
-    The sum is over at most n terms, so n is a site's coverage, not a corpus count."""
-    log_fact = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.ln(i.cast("double")))
-
-    def tail(head):
-        # c, the current term's logarithm, moves from k to k + 1 by (n - k) / (k + 1) * p / q
-        start = head - log_fact(m) - log_fact(n - m) + m * F.ln(p) + (n - m) * F.ln(1 - p)
-        state = F.struct(start.alias("c"), F.lit(0.0).alias("s"))
-        step = lambda a, k: F.struct(
-            (a["c"] + F.ln(F.greatest(n - k, F.lit(1)).cast("double")) - F.ln((k + 1).cast("double")) + F.ln(p) - F.ln(1 - p)).alias("c"), (a["s"] + F.exp(a["c"])).alias("s"))
-        return F.aggregate(F.sequence(m.cast("int"), n.cast("int")), state, step, lambda a: a["s"])
-
-    return F.when(m <= 0, 1.0).when(m > n, 0.0).when(p <= 0, 0.0).when(p >= 1, 1.0).otherwise(F.least(F.lit(1.0), tail(log_fact(n))))
+    """P(X >= m) for X ~ Binomial(n, p) in Arrow batches, at a cost that hardly grows with n. 1 at m = 0."""
+    return binom_tail(m, n, p)
 
 
 def complement(c: Column) -> Column:

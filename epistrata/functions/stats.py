@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -11,62 +10,89 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_inc(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
-    f = d
-    for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + num * d or 1e-300)
-            c = 1 + num / c or 1e-300
-            f *= c * d
-        if abs(c * d - 1) < 1e-14:
+#: The coefficients of Lanczos' series for g = 7.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def lgamma(x) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers."""
+    x = np.asarray(x, dtype=float) - 1
+    series = LANCZOS[0] + sum(c / (x + i) for i, c in enumerate(LANCZOS[1:], 1))
+    t = x + 7.5
+    return 0.5 * math.log(2 * math.pi) + (x + 0.5) * np.log(t) - t + np.log(series)
+
+
+def beta_inc(a, b, x) -> np.ndarray:
+    """Regularised incomplete beta function of arrays by its continued fraction; terms grow with the root of a and b."""
+    a, b, x = (np.array(v, dtype=float) for v in np.broadcast_arrays(a, b, x))
+    shape = x.shape
+    a, b, x = a.ravel(), b.ravel(), x.ravel()
+    out = np.where(x >= 1, 1.0, 0.0)
+    at = np.flatnonzero((x > 0) & (x < 1))
+    a, b, x = a[at], b[at], x[at]
+    swap = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    front = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny = lambda v: np.where(v == 0, 1e-300, v)
+    d = 1 / tiny(1 - (a + b) * x / (a + 1))
+    c, f = np.ones_like(d), d.copy()
+    left = np.arange(len(at))
+    for m in range(1, 20_000):
+        if not len(left):
             break
-    return front * f
+        p, q, z = a[left], b[left], x[left]
+        for num in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d[left] = 1 / tiny(1 + num * d[left])
+            c[left] = tiny(1 + num / c[left])
+            f[left] *= c[left] * d[left]
+        left = left[np.abs(c[left] * d[left] - 1) > 1e-15]
+    out[at] = np.where(swap, 1 - front * f, front * f)
+    return out.reshape(shape)
+
+
+def t_cdf(t, df) -> np.ndarray:
+    t, df = np.broadcast_arrays(np.asarray(t, dtype=float), np.asarray(df, dtype=float))
+    tail = beta_inc(df / 2, 0.5, df / (df + t * t)) / 2
+    return np.where(t > 0, 1 - tail, tail)
+
+
+def t_quantile(q, df) -> np.ndarray:
+    """Inverse of ``t_cdf`` by bisection, for arrays; NaN without degrees of freedom."""
+    q, df = np.broadcast_arrays(np.asarray(q, dtype=float), np.asarray(df, dtype=float))
+    ok = (df > 0) & (q > 0) & (q < 1)
+    safe_q, safe_df = np.where(ok, q, 0.5), np.where(ok, df, 1.0)
+    lo, hi = np.full(q.shape, -1e6), np.full(q.shape, 1e6)
+    for _ in range(90):
+        mid = (lo + hi) / 2
+        low = t_cdf(mid, safe_df) < safe_q
+        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+    return np.where(ok, (lo + hi) / 2, np.nan)
 
 
-def t_cdf(t: float, df: float) -> float:
-    tail = _beta_inc(df / 2, 0.5, df / (df + t * t)) / 2
-    return 1 - tail if t > 0 else tail
+@F.pandas_udf(T.DoubleType())
+def t_half_width(df: pd.Series, scale: pd.Series, confidence: pd.Series) -> pd.Series:
+    """Half the width of the two-sided interval of a mean with this scale; 0 at confidence 0."""
+    keys, at = np.unique(np.stack([df.to_numpy(float), confidence.to_numpy(float)]), axis=1, return_inverse=True)
+    width = np.where(keys[1] > 0, t_quantile((1 + keys[1]) / 2, keys[0]), 0.0)
+    return pd.Series(width[at.reshape(-1)] * scale.to_numpy(float))
 
 
-def t_quantile(q: float, df: float) -> float:
-    """Inverse of ``t_cdf`` by bisection; NaN without degrees of freedom."""
-    if not df > 0 or not 0 < q < 1:
-        return math.nan
-    lo, hi = -1e6, 1e6
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if t_cdf(mid, df) < q else (lo, mid)
-    return (lo + hi) / 2
+@F.pandas_udf(T.DoubleType())
+def binom_tail(m: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+    """P(X >= m) for X ~ Binomial(n, p), as the incomplete beta function of (m, n - m + 1) at p. Null in, null out."""
+    m, n, p = (x.to_numpy(float, na_value=np.nan) for x in (m, n, p))
+    inner = (m > 0) & (m <= n)
+    tail = beta_inc(np.where(inner, m, 1.0), np.where(inner, n - m + 1, 1.0), np.where(inner, p, 0.5))
+    out = np.where(m <= 0, 1.0, np.where(m > n, 0.0, tail))
+    return pd.Series(np.where(np.isnan(m) | np.isnan(n) | np.isnan(p), np.nan, out)).astype("Float64").mask(np.isnan(m) | np.isnan(n) | np.isnan(p))
 
 
-@F.pandas_udf(T.DoubleType())
-def t_half_width(df: pd.Series, scale: pd.Series, confidence: pd.Series) -> pd.Series:
-    """Half the width of the two-sided interval of a mean with this scale."""
-    known: dict = {}
-    out = []
-    for d, s, c in zip(df, scale, confidence):
-        k = (d, c)
-        if k not in known:
-            known[k] = t_quantile((1 + c) / 2, d) if c > 0 else 0.0
-        out.append(known[k] * s)
-    return pd.Series(out)
-
-
-@F.pandas_udf(T.StructType([T.StructField("m", T.LongType()), T.StructField("total", T.LongType())]))
-def rational(share: pd.Series, most: pd.Series) -> pd.DataFrame:
-    """The fraction nearest to a share with a denominator of ``most`` or less; null for null and NaN."""
-    out = []
-    for x, k in zip(share, most):
-        f = None if x is None or math.isnan(x) else Fraction(x).limit_denominator(int(k))
-        out.append((None, None) if f is None else (f.numerator, f.denominator))
-    return pd.DataFrame(out, columns=["m", "total"]).astype("Int64")
+def rational(share, most):
+    """(m, total): the fraction nearest to a share with a denominator of ``most`` or less, the smallest one of those; nulls for null and NaN."""
+    m = lambda k: F.floor(share * k + 0.5).cast("long")
+    best = F.array_min(F.transform(F.sequence(F.lit(1), most), lambda k: F.struct(F.round(F.abs(share - m(k) / k), 12).alias("off"), k.cast("long").alias("total"), m(k).alias("m"))))
+    known = share.isNotNull() & ~F.isnan(share)
+    return F.struct(F.when(known, best["m"]).alias("m"), F.when(known, best["total"]).alias("total"))
 
 
 def savitzky_golay(values, window: int, order: int = 3) -> np.ndarray:
@@ -85,11 +111,17 @@ def savitzky_golay(values, window: int, order: int = 3) -> np.ndarray:
     return np.convolve(padded, weights[::-1], mode="valid")
 
 
-def correlation_p(r: float, n: int) -> float:
-    """Two-sided p-value of Pearson's r over n pairs."""
-    if n < 3 or math.isnan(r):
-        return math.nan
-    if abs(r) >= 1:
-        return 0.0
-    t = abs(r) * math.sqrt((n - 2) / (1 - r * r))
-    return 2 * (1 - t_cdf(t, n - 2))
+def correlation_p(r, n) -> np.ndarray:
+    """Two-sided p-value of Pearson's r over n pairs; NaN for fewer than three."""
+    r, n = np.broadcast_arrays(np.asarray(r, dtype=float), np.asarray(n, dtype=float))
+    safe = np.where((n > 2) & (np.abs(r) < 1), r, 0.0)
+    df = np.where(n > 2, n - 2, 1.0)
+    t2 = safe * safe * df / (1 - safe * safe)
+    p = beta_inc(df / 2, 0.5, df / (df + t2))
+    return np.where((n < 3) | np.isnan(r), np.nan, np.where(np.abs(r) >= 1, 0.0, p))
+
+
+@F.pandas_udf(T.DoubleType())
+def correlation_test(r: pd.Series, n: pd.Series) -> pd.Series:
+    p = correlation_p(r.to_numpy(float, na_value=np.nan), n.to_numpy(float))
+    return pd.Series(p).astype("Float64").mask(np.isnan(p))

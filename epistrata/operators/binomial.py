@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.density import binom_sf, covered, strand_fits
@@ -42,9 +42,7 @@ def without_duplicates(d: DataFrame) -> DataFrame:
 
 
 def region_pvalues(cytosines: DataFrame, regions: DataFrame) -> DataFrame:
-    """Region counts with P(X >= m) by the context's own p.
-
-    Counts of a region may be large, so the tail is summed over m..n; that many terms per row."""
+    """Region counts with P(X >= m) by the context's own p."""
     p = F.broadcast(context_stats(cytosines).select("context", "p"))  # a row per context
     return region_counts(cytosines, regions).join(p, "context").select(
         "chr", "strand", "start", "end", "id", "context", "count_m", "count_total", binom_sf(F.col("count_m"), F.col("count_total"), F.col("p")).alias("p_value"))
@@ -72,3 +70,52 @@ def categorise(w: DataFrame, context: str = "CG", p: float = 0.05, min_n: int =
         ok = ok & o
     kind = F.when(own < p, "BM").when(own >= 1 - p, "UM").otherwise("IM")
     return w.where(ok & own.isNotNull()).withColumn("category", kind)
+
+
+class Filter:
+    """A condition on columns, joined with others by & and |."""
+
+    def __init__(self, condition: Column):
+        self.condition = condition
+
+    def __and__(self, other: "Filter") -> "Filter":
+        return Filter(self.condition & other.condition)
+
+    def __or__(self, other: "Filter") -> "Filter":
+        return Filter(self.condition | other.condition)
+
+    def __call__(self, d: DataFrame) -> DataFrame:
+        return d.where(self.condition)
+
+
+class _On:
+    """Compared with a number or a column, a column gives a ``Filter``."""
+
+    def __init__(self, column: Column):
+        self.column = column
+
+    def __lt__(self, x):
+        return Filter(self.column < x)
+
+    def __le__(self, x):
+        return Filter(self.column <= x)
+
+    def __gt__(self, x):
+        return Filter(self.column > x)
+
+    def __ge__(self, x):
+        return Filter(self.column >= x)
+
+    def __eq__(self, x):
+        return Filter(self.column == x)
+
+    __hash__ = None
+
+
+def p_value_of(context: str) -> _On:
+    """The p-values of a context in a ``wide`` table, for filters: ``(p_value_of("CG") < 0.05) & (count_of("CG") >= 10)``."""
+    return _On(F.col(f"p_value_context_{context}"))
+
+
+def count_of(context: str) -> _On:
+    return _On(F.col(f"count_total_context_{context}"))

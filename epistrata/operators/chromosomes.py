@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.density import covered
-from ..functions.stats import t_half_width
+from ..functions.stats import savitzky_golay, t_half_width
+
+#: Windows numbered by one task.
+BLOCK = 100_000
 
 
 def long_chromosomes(cytosines: DataFrame, min_length: int) -> DataFrame:
@@ -31,10 +34,19 @@ def with_interval(lv: DataFrame, confidence: float = 0.95) -> DataFrame:
 
 
 def plot(lv: DataFrame) -> DataFrame:
-    """Over strands, with a running index of the windows through all chromosomes (one row per window reaches its one sort)."""
-    d = lv.groupBy("chr", "window", "context").agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min("start").alias("start"))
-    index = d.select("chr", "window").distinct().select("chr", "window", (F.row_number().over(Window.orderBy("chr", "window")) - 1).cast("long").alias("fragment"))
-    return d.join(index, ["chr", "window"]).select("chr", "window", "context", "start", "fragment", (F.col("sum") / F.col("count")).alias("density"))
+    """Over strands, with a running index of the windows through all chromosomes: by how many windows the chromosomes before have, the blocks of
+    windows before, and the place within the block. Bounds of an interval, if there are any, are averaged over strands."""
+    bounds = [F.avg(c).alias(c) for c in ("lower", "upper") if c in lv.columns]
+    d = lv.groupBy("chr", "window", "context").agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min("start").alias("start"), *bounds)
+    windows = d.select("chr", "window").distinct().withColumn("block", F.floor(F.col("window") / BLOCK))
+    blocks = windows.groupBy("chr", "block").agg(F.count("*").alias("n"))
+    chrs = blocks.groupBy("chr").agg(F.sum("n").alias("n"))
+    until = lambda w: F.sum("n").over(w) - F.col("n")
+    first = chrs.select("chr", until(Window.orderBy("chr")).alias("chr_first"))  # a row per chromosome
+    at = blocks.select("chr", "block", until(Window.partitionBy("chr").orderBy("block")).alias("block_first")).join(F.broadcast(first), "chr")
+    place = F.row_number().over(Window.partitionBy("chr", "block").orderBy("window")) - 1
+    index = windows.withColumn("place", place).join(at, ["chr", "block"]).select("chr", "window", (F.col("chr_first") + F.col("block_first") + F.col("place")).cast("long").alias("fragment"))
+    return d.join(index, ["chr", "window"]).select("chr", "window", "context", "start", "fragment", (F.col("sum") / F.col("count")).alias("density"), *[c for c in ("lower", "upper") if c in lv.columns])
 
 
 def ticks(p: DataFrame) -> DataFrame:
@@ -45,5 +57,21 @@ def ticks(p: DataFrame) -> DataFrame:
 
 
 def boxes(lv: DataFrame) -> DataFrame:
-    """Sorted window densities per chromosome and context."""
-    return lv.groupBy("chr", "context").agg(F.sort_array(F.collect_list(F.col("sum") / F.col("count"))).alias("densities"))
+    """Per chromosome and context: windows, total, least, quartiles and greatest of their densities."""
+    d = lv.withColumn("v", F.col("sum") / F.col("count"))
+    return d.groupBy("chr", "context").agg(
+        F.count("v").alias("n"), F.sum("v").alias("total"), F.min("v").alias("low"), *[F.percentile("v", q).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))], F.max("v").alias("high"))
+
+
+def filtered(lv: DataFrame, context=None, strand=None, chr=None) -> DataFrame:
+    """Windows that meet all given conditions."""
+    for name, value in (("context", context), ("strand", strand), ("chr", chr)):
+        if value is not None:
+            lv = lv.where(F.col(name) == value)
+    return lv
+
+
+def smoothed(p: DataFrame, context: str, smooth: int = 0) -> list[float]:
+    """A context's densities in percent along ``plot``'s index, on the driver: as many numbers as windows."""
+    rows = p.where(F.col("context") == context).select("fragment", "density").orderBy("fragment").collect()
+    return (savitzky_golay([r["density"] for r in rows], smooth) * 100).tolist()

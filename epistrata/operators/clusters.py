@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import correlation_p
+from ..functions.stats import correlation_test
 from .joins import common_keys
 from .metagene import forward
 
@@ -31,7 +31,7 @@ def difference(a: DataFrame, b: DataFrame, key: str = "gene") -> DataFrame:
     return a.select(key, F.col("vector").alias("va")).join(b.select(key, F.col("vector").alias("vb")), key).select(key, F.zip_with("vb", "va", lambda x, y: x - y).alias("vector"))
 
 
-def kmeans(d: DataFrame, k: int = 8, tries: int = 3, seed: int = 0) -> DataFrame:
+def kmeans(d: DataFrame, k: int = 8, tries: int = 10, seed: int = 0) -> DataFrame:
     """``d`` with ``label`` by k-means, the best of ``tries`` starts."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -59,8 +59,13 @@ def module_correlation(d: DataFrame, key: str = "gene") -> DataFrame:
 
 
 def module_membership(d: DataFrame, windows: int, cutoff: float = 0.05, key: str = "gene") -> DataFrame:
-    p = F.udf(lambda r: None if r is None else float(correlation_p(r, windows)), "double")
-    return module_correlation(d, key).withColumn("p_value", p("r")).where(F.col("p_value") < cutoff)
+    """Rows that correlate with their centroid at a p-value below ``cutoff``."""
+    return module_correlation(d, key).withColumn("p_value", correlation_test("r", F.lit(windows))).where(F.col("p_value") < cutoff)
+
+
+def identity(d: DataFrame, key: str = "gene") -> DataFrame:
+    """Every row a cluster of its own, labelled by its name."""
+    return d.withColumn("label", F.col(key).cast("string"))
 
 
 def principal_components(matrix_: DataFrame, labels: list[str], k: int = 2) -> list[tuple]:

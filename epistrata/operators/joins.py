@@ -14,42 +14,43 @@ def _exploded(df: DataFrame, lo: Column, hi: Column, bin_size: int) -> DataFrame
     return df.withColumn("_bin", F.explode(F.sequence(first, last)))
 
 
-def asof_backward(left: DataFrame, regions: DataFrame, key: str = "upstream", end: str = "downstream", at: str = "position", by: str = "chr", tie: str = "id", bin_size: int = BIN) -> DataFrame:
+def asof_backward(left: DataFrame, regions: DataFrame, key: str = "upstream", end: str = "downstream", at: str = "position", by: str = "chr", tie: str | list[str] = "id", bin_size: int = BIN, how: str = "inner", prefix: str = "r_", last: DataFrame | None = None) -> DataFrame:
     """Each left row with the one region of its ``by`` whose ``key`` is nearest at or below ``at``, if ``at`` <= its ``end`` (None: any).
 
     A region's reach ends where the next begins, so the as-of join is a join with disjoint intervals, and the upper limit
-    prunes their bins. Regions that begin together: the longest, then the smallest ``tie``. No task holds a chromosome."""
-    w = Window.partitionBy(by, key).orderBy(*([F.col(end).desc()] if end else []), F.col(tie))
+    prunes their bins. Regions that begin together: the longest, then the smallest ``tie``. No task holds a chromosome's left rows;
+    its regions, which an annotation bounds, are ordered by one. ``how``: left keeps left rows without region. ``last``: for open ends, one
+    row with the largest ``at`` (``_last``), if it is known."""
+    w = Window.partitionBy(by, key).orderBy(*([F.col(end).desc()] if end else []), *([tie] if isinstance(tie, str) else tie))
     one = regions.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     nxt = F.lead(key).over(Window.partitionBy(by).orderBy(key)) - 1
     if end is None:  # open ends: up to the last position of the left side
-        last = left.agg(F.max(at).alias("_last"))
+        last = left.agg(F.max(at).alias("_last")) if last is None else last
         one = one.crossJoin(F.broadcast(last))  # one row
         reach = F.coalesce(nxt, F.greatest(F.col("_last"), F.col(key)))
     else:
         reach = F.least(F.coalesce(nxt, F.col(end)), F.col(end))
     one = one.withColumn("_hi", reach).where(F.col("_hi") >= F.col(key))
     binned = _exploded(one, F.col(key), F.col("_hi"), bin_size).drop("_last")
-    r = binned.select(F.col(by).alias("_by"), "_bin", F.col(key).alias("_lo"), "_hi", *[F.col(c).alias(f"r_{c}") for c in regions.columns])
+    r = binned.select(F.col(by).alias("_by"), "_bin", F.col(key).alias("_lo"), "_hi", *[F.col(c).alias(f"{prefix}{c}") for c in regions.columns])
     probe = left.withColumn("_bin", F.floor(F.col(at) / bin_size))
-    hit = probe.join(r, (probe[by] == r["_by"]) & (probe["_bin"] == r["_bin"]) & (F.col(at) >= F.col("_lo")) & (F.col(at) <= F.col("_hi")))
-    return hit.select(*left.columns, *[f"r_{c}" for c in regions.columns])
+    hit = probe.join(r, (probe[by] == r["_by"]) & (probe["_bin"] == r["_bin"]) & (F.col(at) >= F.col("_lo")) & (F.col(at) <= F.col("_hi")), how)
+    return hit.select(*[probe[c] for c in left.columns], *[f"{prefix}{c}" for c in regions.columns])
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, at: str = "mid", by: str = "chr") -> DataFrame:
     """Each left row with the right row of the smallest |difference| in ``at``; equally near: the lower one. Left rows of a ``by`` unknown to the right have nulls.
 
-    One pass over both sides in order of ``at`` gives the nearest below and above; it is split by ``by`` only."""
+    Two as-of joins by bins, one downwards and one, on the mirrored axis, upwards, so no task holds a chromosome's left rows. Right rows at
+    one place: the smallest by their other columns in turn, ``id`` first if they have one."""
     rc = [c for c in right.columns if c != by]
-    both = left.select(by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*rc)).schema[0].dataType).alias("_r")).unionByName(
-        right.select(by, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), F.struct(*rc).alias("_r")))
-    order = Window.partitionBy(by).orderBy("_at", "_side")
-    below = F.last("_r", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("_r", True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    near = both.select("_side", "_l", below.alias("b"), above.alias("a")).where("_side = 1")
-    pick = F.when(F.col("a").isNull() | (F.col(f"_l.{at}") - F.col(f"b.{at}") <= F.col(f"a.{at}") - F.col(f"_l.{at}")), F.col("b")).otherwise(F.col("a"))
-    n = near.select("_l", pick.alias("p"))
-    return n.select("_l.*", *[F.col(f"p.{c}").alias(f"r_{c}") for c in rc])
+    tie = sorted([c for c in rc if c != at], key=lambda c: c != "id")
+    neg = "_neg"
+    below = asof_backward(left, right, at, None, at, by, tie, how="left", prefix="_b_", last=left.agg(F.max(at).alias("_last")))
+    mirrored = right.withColumn(neg, -F.col(at))
+    both = asof_backward(below.withColumn(neg, -F.col(at)), mirrored, neg, None, neg, by, tie, how="left", prefix="_a_", last=left.agg(F.max(-F.col(at)).alias("_last")))
+    low = F.col(f"_a_{at}").isNull() | (F.col(f"_b_{at}").isNotNull() & (F.col(at) - F.col(f"_b_{at}") <= F.col(f"_a_{at}") - F.col(at)))
+    return both.select(*left.columns, *[F.when(low, F.col(f"_b_{c}")).otherwise(F.col(f"_a_{c}")).alias(f"r_{c}") for c in rc])
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, by: str = "chr", start: str = "start", end: str = "end", bin_size: int = BIN) -> DataFrame:

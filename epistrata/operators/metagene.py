@@ -5,9 +5,10 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranges
 from ..functions.density import covered, strand_fits
 from ..functions.stats import savitzky_golay, t_half_width
 from .joins import asof_backward
@@ -138,7 +139,7 @@ def forward(d: DataFrame) -> DataFrame:
 
 
 def statistic(name: str) -> Column:
-    """The line's value per window out of sum and count: wmean, mean, log, wlog, or qN for a percentile."""
+    """The line's value per window out of sum and count: wmean, mean, log or wlog."""
     share = F.col("sum") / F.col("count")
     if name == "wmean":
         return F.sum("sum") / F.sum("count")
@@ -148,22 +149,19 @@ def statistic(name: str) -> Column:
         return F.expm1(F.avg(F.log1p(share)))
     if name == "wlog":
         return F.expm1(F.sum(F.log1p(share) * F.col("count")) / F.sum("count"))
-    if name[:1] == "q" and name[1:].isdigit() and int(name[1:]) <= 100:
-        return quantile_nearest(share, int(name[1:]) / 100)
     raise ValueError(f"unknown statistic {name}")
 
 
-def quantile_nearest(c: Column, q: float) -> Column:
-    """The value at the nearest rank: index round(q (n - 1)), halves up. The values of one group are sorted together."""
-    values = F.sort_array(F.collect_list(c))
-    return F.element_at(values, (F.floor((F.size(values) - 1) * F.lit(q) + 0.5) + 1).cast("int"))
-
-
 def line(m: Metagene, stat: str = "wmean", merge_strands: bool = True, resolution: int | None = None, dense: bool = True, keys=()) -> DataFrame:
-    """(keys, fragment, density): every window has a row if ``dense``; those without data are null."""
+    """(keys, fragment, density): every window has a row if ``dense``; those without data are null. ``stat``: see ``statistic``, or qN for
+    the N-th percentile of the regions' densities by nearest rank."""
     r = resize(m, resolution)
     d = forward(r.df) if merge_strands else r.df
-    out = d.groupBy(*keys, "fragment").agg(statistic(stat).alias("density"))
+    if stat[:1] == "q" and stat[1:].isdigit() and int(stat[1:]) <= 100:
+        shares = d.select(*keys, "fragment", (F.col("sum") / F.col("count")).alias("share"))
+        out = ranges.nearest_rank(shares, [*keys, "fragment"], "share", int(stat[1:]) / 100, "density")
+    else:
+        out = d.groupBy(*keys, "fragment").agg(statistic(stat).alias("density"))
     if not dense:
         return out
     template = m.df.sparkSession.range(r.windows).withColumnRenamed("id", "fragment")
@@ -195,11 +193,12 @@ def smoothed_line(m: Metagene, smooth: int = 0, **options) -> list[float]:
 def heat_map(m: Metagene, rows: int = 100, columns: int | None = None) -> DataFrame:
     """(row, fragment, density in percent), a dense grid: genes from the densest down, dealt evenly over the rows.
 
-    The rank needs one order over the genes (a row each, after aggregation), not over cytosines."""
+    The rank is over the genes (a row each, after aggregation), by ranges of their density."""
     r = resize(m, columns)
     d = forward(r.df).withColumn("share", F.col("sum") / F.col("count"))
     genes = d.groupBy("gene").agg((F.sum("share") / (r.windows + 1)).alias("weight"))
-    ranked = genes.select("gene", (F.row_number().over(Window.orderBy(F.round("weight", 9).desc(), "gene")) - 1).alias("rank"), F.count("*").over(Window.partitionBy()).alias("n"))
+    keyed = genes.select("gene", (-F.round("weight", 9)).alias("key"))
+    ranked = ranges.numbered(keyed, "key", ["gene"], "rank").crossJoin(F.broadcast(keyed.agg(F.count("*").alias("n"))))  # one row
     row = F.floor(F.col("rank") / F.col("n") * rows).cast("long")
     cells = d.join(ranked.select("gene", row.alias("row")), "gene").groupBy("row", "fragment").agg((F.avg("share") * 100).alias("density"))
     spark = m.df.sparkSession
@@ -238,3 +237,19 @@ def variable_rows(matrix: DataFrame, labels: list[str], q: float) -> DataFrame:
     v = matrix.withColumn("variance", sum((F.pow(F.col(x) - mean, 2) for x in labels), F.lit(0.0)) / n)
     limit = v.agg(F.percentile("variance", q).alias("_limit"))
     return v.crossJoin(F.broadcast(limit)).where("variance > _limit").drop("_limit")
+
+
+def dendrogram_matrix(samples: DataFrame, labels: list[str], q: float = 0.75) -> DataFrame:
+    """What samples are clustered by: the rows of ``sample_matrix`` that vary most, those above the q-quantile of variance; q = 0: all."""
+    m = sample_matrix(samples, labels)
+    return variable_rows(m, labels, q).select("gene", *labels) if q > 0 else m
+
+
+def ticks(m: Metagene) -> list[float]:
+    """Places of the labels upstream, start, body, end and downstream, in windows."""
+    return [m.up / 2, m.up, m.windows / 2, m.up + m.body, m.windows - m.down / 2]
+
+
+def borders(m: Metagene) -> list[int]:
+    """Windows at which the body begins and ends."""
+    return [m.up, m.up + m.body]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .joins import BIN
 
 #: Strand and whether converted, by read and genome conversion; context and state by call.
-STRANDS = {"CTCT": ("+", False), "CTGA": ("-", False), "GACT": ("+", True), "GAGA": ("-", True)}
+STRANDS = {"CTCT": ("+", True), "CTGA": ("-", True), "GACT": ("+", False), "GAGA": ("-", False)}
 CALLS = {"z": ("CG", 0), "Z": ("CG", 1), "x": ("CHG", 0), "X": ("CHG", 1), "h": ("CHH", 0), "H": ("CHH", 1), "u": ("U", 0), "U": ("U", 1)}
 
 
@@ -25,7 +25,7 @@ def exploded_calls(reads: DataFrame) -> DataFrame:
     return d.select("chr", "qname", (F.col("pos") + F.col("offset")).alias("position"), "call", F.get("quals", F.col("offset")).alias("qual"), "strand_conv")
 
 
-def decoded(calls: DataFrame, min_qual: int | None = None, context: str | None = None, keep_converted: bool = False) -> DataFrame:
+def decoded(calls: DataFrame, min_qual: int | None = None, context: str | None = None, keep_converted: bool = True) -> DataFrame:
     """Strand, context and state per call; unknown contexts and (unless kept) converted strands go; quality above ``min_qual``."""
     d = calls.select("*", F.element_at(_map(STRANDS, 0), F.col("strand_conv")).alias("strand"), F.element_at(_map(STRANDS, 1), F.col("strand_conv")).alias("converted"),
                      F.element_at(_map(CALLS, 0), F.col("call")).alias("context"), F.element_at(_map(CALLS, 1), F.col("call")).alias("m"))
@@ -44,6 +44,19 @@ def in_regions(calls: DataFrame, regions: DataFrame) -> DataFrame:
     return c.join(r, (c["chr"] == r["_c"]) & (c["_b"] == r["_bin"]) & F.col("position").between(F.col("_u"), F.col("_d"))).select(*calls.columns, "region")
 
 
+def where_calls(calls: DataFrame, **values) -> DataFrame:
+    """Calls whose columns equal the given values, before any windows are made of them."""
+    for k, v in values.items():
+        calls = calls.where(F.col(k) == v)
+    return calls
+
+
+def per_slab(reads: DataFrame, slab: int = 1_000_000) -> DataFrame:
+    """(chr, slab, reads, mean_qual): how many reads begin in each stretch of a chromosome, and their mean quality."""
+    mean = F.aggregate("quals", F.lit(0.0), lambda a, q: a + q) / F.nullif(F.size("quals"), F.lit(0))
+    return reads.where("pos is not null").groupBy("chr", F.floor(F.col("pos") / slab).alias("slab")).agg(F.count("*").alias("reads"), F.avg(mean).alias("mean_qual"))
+
+
 def deduplicated(calls: DataFrame) -> DataFrame:
     """The best call of a read at a position."""
     w = Window.partitionBy("chr", "qname", "position").orderBy(F.col("qual").desc(), "call")
@@ -87,7 +100,7 @@ def patterns(calls: DataFrame, length: int = 4, by: str = "chr") -> DataFrame:
     w = Window.partitionBy(by, "qname").orderBy("k").rowsBetween(Window.currentRow, length - 1)
     ahead = d.select(by, "k", "position", F.collect_list(F.col("k")).over(w).alias("ks"), F.collect_list(F.col("position")).over(w).alias("ps"), F.array_join(F.collect_list(F.col("m").cast("string")).over(w), "").alias("pattern"))
     full = ahead.where((F.size("ks") == length) & (F.element_at("ks", -1) == F.col("k") + length - 1))
-    return full.groupBy(by, F.col("k").alias("window"), F.col("position").alias("first"), F.element_at("ps", -1).alias("last"), "pattern").agg(F.count("*").alias("n"))
+    return full.groupBy(by, F.col("k").alias("window"), F.col("position").alias("first"), F.element_at("ps", -1).alias("last"), F.col("ps").alias("positions"), "pattern").agg(F.count("*").alias("n"))
 
 
 def _shares(p: DataFrame, by: str, min_depth: int) -> DataFrame:
@@ -98,13 +111,13 @@ def _shares(p: DataFrame, by: str, min_depth: int) -> DataFrame:
 def methylation_entropy(calls: DataFrame, length: int = 4, min_depth: int = 4, by: str = "chr") -> DataFrame:
     """|(1 / length) sum of share log2 share| over the patterns of each window read ``min_depth`` times or more."""
     d = _shares(patterns(calls, length, by), by, min_depth)
-    return d.groupBy(by, "window", "first", "last").agg(F.abs(F.sum(F.col("share") * F.log2("share")) / length).alias("entropy"), F.first("depth").alias("depth"))
+    return d.groupBy(by, "window", "first", "last", "positions").agg(F.abs(F.sum(F.col("share") * F.log2("share")) / length).alias("entropy"), F.first("depth").alias("depth"))
 
 
 def epipolymorphism(calls: DataFrame, length: int = 4, min_depth: int = 4, by: str = "chr") -> DataFrame:
     """1 - sum of share squared."""
     d = _shares(patterns(calls, length, by), by, min_depth)
-    return d.groupBy(by, "window", "first", "last").agg((1 - F.sum(F.col("share") * F.col("share"))).alias("epipolymorphism"), F.first("depth").alias("depth"))
+    return d.groupBy(by, "window", "first", "last", "positions").agg((1 - F.sum(F.col("share") * F.col("share"))).alias("epipolymorphism"), F.first("depth").alias("depth"))
 
 
 def discordant_reads(calls: DataFrame, min_calls: int = 4, min_depth: int = 1, by: str = "chr") -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chromosomes, clusters, joins, metagene
+from ..operators import chromosomes, clusters, metagene
 from ..operators.genome import gene_body
-from ..operators.replicates import merge  # noqa: F401
 from . import fixtures as fx
 from .fixtures import BODY, DOWN, FLANK, PLACED_SQL, REG_SQL, UP, cyt_sql, cytosines, mg_sql, r6
 
@@ -60,9 +59,9 @@ def metagene_filter_context(spark, sf):
     return show(metagene.filtered(base(spark, sf), context="CG", strand="+", chr="chr1").df)
 
 
-@query(f"WITH {mg_sql()} SELECT {SHOW} FROM mg SEMI JOIN (SELECT * FROM genome WHERE type = 'gene' AND start % 400 = 0) g ON mg.chr = g.chr AND mg.start = g.start")
+@query(f"WITH {mg_sql()} SELECT {SHOW} FROM mg SEMI JOIN (SELECT * FROM genome WHERE type = 'gene' AND start % 6000 = 0) g ON mg.chr = g.chr AND mg.start = g.start")
 def metagene_filter_genome(spark, sf):
-    g = fx.genome(spark, sf).where("type = 'gene' and start % 400 = 0")
+    g = fx.genome(spark, sf).where("type = 'gene' and start % 6000 = 0")
     return show(metagene.filtered(base(spark, sf), genome=g).df)
 
 
@@ -159,18 +158,24 @@ def _matrix(spark, sf):
     return metagene.sample_matrix(metagene.labelled(samples(spark, sf, N)), LABELS)
 
 
-@query(f"WITH {MATRIX_SQL} SELECT gene, " + ", ".join(f"round({x}, 6) AS {x}" for x in LABELS) + " FROM mx")
+@query(f"WITH {MATRIX_SQL} SELECT * FROM mx")
 def pca_matrix(spark, sf):
-    return _matrix(spark, sf).select("gene", *[r6(x).alias(x) for x in LABELS])
+    return _matrix(spark, sf)
 
 
-@query(f"WITH {MATRIX_SQL}, v AS (SELECT *, ({' + '.join(f'pow({x} - ({' + '.join(LABELS)}) / {N}.0, 2)' for x in LABELS)}) / {N}.0 AS variance FROM mx) SELECT gene, "
-       + ", ".join(f"round({x}, 6) AS {x}" for x in LABELS) + " FROM v WHERE variance > (SELECT quantile_cont(variance, 0.75) FROM v)")
+def _varying(q):
+    return (f"WITH {MATRIX_SQL}, v AS (SELECT *, ({' + '.join(f'pow({x} - ({' + '.join(LABELS)}) / {N}.0, 2)' for x in LABELS)}) / {N}.0 AS variance FROM mx) "
+            f"SELECT gene, {', '.join(LABELS)} FROM v WHERE variance > (SELECT quantile_cont(variance, {q}) FROM v)")
+
+
+@query(_varying(0.5))
 def dendro_var_filter(spark, sf):
-    return metagene.variable_rows(_matrix(spark, sf), LABELS, 0.75).select("gene", *[r6(x).alias(x) for x in LABELS])
+    return metagene.variable_rows(_matrix(spark, sf), LABELS, 0.5).select("gene", *LABELS)
 
 
-QUERIES["dendro_matrix"], ORACLES["dendro_matrix"] = pca_matrix, ORACLES["pca_matrix"]
+@query(_varying(0.75))
+def dendro_matrix(spark, sf):
+    return metagene.dendrogram_matrix(metagene.labelled(samples(spark, sf, N)), LABELS)
 
 
 @query()
@@ -237,10 +242,10 @@ def module_corr(spark, sf):
 
 @query()
 def cluster_kmeans(spark, sf):
-    return clusters.kmeans(_embeddings(spark, sf).drop("label"), 10, 2).select("vec_id", "label")
+    return clusters.kmeans(_embeddings(spark, sf).drop("label"), 10, 3).select("vec_id", "label")
 
 
-WIN = 20_000
+WIN = 400_000
 LV = f"""{cyt_sql()}, lv AS (SELECT chr, strand, context, floor(position / {WIN})::BIGINT AS "window", sum(density) AS sum, count(density)::BIGINT AS count, min(position) AS start, max(position) AS "end",
   avg(density) AS mean, var_pop(density) AS variance, sum(count_total)::BIGINT AS weight FROM cyt WHERE NOT isnan(density) GROUP BY 1, 2, 3, 4)"""
 PLOT = LV + """, pw AS (SELECT chr, "window", context, sum(sum) / sum(count) AS density, min(start) AS start FROM lv GROUP BY 1, 2, 3),
@@ -261,13 +266,13 @@ def chr_levels(spark, sf):
 
 @query(f"WITH {LV} SELECT {LV_COLS} FROM lv WHERE context = 'CHG' AND strand = '+'")
 def chr_levels_filter(spark, sf):
-    return _levels(chromosomes.levels(cytosines(spark, sf), WIN).where("context = 'CHG' and strand = '+'"))
+    return _levels(chromosomes.filtered(chromosomes.levels(cytosines(spark, sf), WIN), context="CHG", strand="+"))
 
 
-@query(f"WITH {cyt_sql()} SELECT chr, count(*)::BIGINT AS n FROM cyt GROUP BY 1 HAVING max(position) - min(position) >= (SELECT max(position) - 300 FROM cyt)")
+@query(f"WITH {cyt_sql()} SELECT chr, count(*)::BIGINT AS n FROM cyt GROUP BY 1 HAVING max(position) - min(position) >= (SELECT max(position) - 7000 FROM cyt)")
 def chr_min_length(spark, sf):
     c = cytosines(spark, sf)
-    limit = c.agg(F.max("position")).first()[0] - 300
+    limit = c.agg(F.max("position")).first()[0] - 7000
     return chromosomes.long_chromosomes(c, limit).groupBy("chr").agg(F.count("*").alias("n"))
 
 
@@ -282,10 +287,11 @@ def chr_ticks(spark, sf):
     return chromosomes.ticks(chromosomes.plot(chromosomes.levels(cytosines(spark, sf), WIN)))
 
 
-@query(f"""WITH {LV} SELECT chr, context, count(*)::BIGINT AS n, round(sum(sum / count), 6) AS total, round(min(sum / count), 6) AS low, round(max(sum / count), 6) AS high FROM lv GROUP BY 1, 2""")
+@query(f"""WITH {LV}, v AS (SELECT chr, context, sum / count AS v FROM lv) SELECT chr, context, count(*)::BIGINT AS n, {", ".join(f"round({e}, 6) AS {c}" for c, e in (
+    ("total", "sum(v)"), ("low", "min(v)"), ("q1", "quantile_cont(v, 0.25)"), ("median", "quantile_cont(v, 0.5)"), ("q3", "quantile_cont(v, 0.75)"), ("high", "max(v)")))} FROM v GROUP BY 1, 2""")
 def chr_box_plot(spark, sf):
     b = chromosomes.boxes(chromosomes.levels(cytosines(spark, sf), WIN))
-    return b.select("chr", "context", F.size("densities").cast("long").alias("n"), r6(F.aggregate("densities", F.lit(0.0), lambda a, x: a + x)).alias("total"), r6(F.array_min("densities")).alias("low"), r6(F.array_max("densities")).alias("high"))
+    return b.select("chr", "context", "n", *[r6(c).alias(c) for c in ("total", "low", "q1", "median", "q3", "high")])
 
 
 @query()

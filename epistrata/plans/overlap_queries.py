@@ -49,7 +49,7 @@ def enrichment(spark, sf):
 
 @query(f"WITH {EN} SELECT * FROM ec WHERE type NOT IN ('exon', 'NCDS')")
 def enrich_exclude(spark, sf):
-    return enrichment(spark, sf).where(~F.col("type").isin("exon", "NCDS"))
+    return en.without_types(enrichment(spark, sf), ["exon", "NCDS"])
 
 
 @query(f"WITH {EN} SELECT overlap FROM ec WHERE type = 'intergene'")
@@ -73,7 +73,7 @@ def enrich_flanks(spark, sf):
     return en.flank_features(fx.genome(spark, sf), 300)
 
 
-NEAR = f"""{GENOME_SQL}, {DMR_SQL}, a AS (SELECT chr, start, "end", ((start + "end") // 2) AS mid FROM dmr), g AS (SELECT chr, start, "end", strand, id, ((start + "end") // 2) AS mid FROM genome WHERE type = 'gene'),
+NEAR = f"""{GENOME_SQL}, {DMR_SQL}, a AS (SELECT chr, start, "end", ((start + "end") // 2) AS mid FROM dmr), g AS (SELECT chr, start, "end", strand, id, ((start + "end") // 2) AS mid FROM genome WHERE type = 'gene' QUALIFY row_number() OVER (PARTITION BY chr, (start + "end") // 2 ORDER BY id) = 1),
 lo AS (SELECT a.chr, a.start, a."end", a.mid, g.id AS id, g.mid AS gm, g.start AS gs, g."end" AS ge, g.strand AS st FROM a ASOF LEFT JOIN g ON a.chr = g.chr AND a.mid >= g.mid),
 hi AS (SELECT a.chr, a.start, a."end", a.mid, g.id AS id, g.mid AS gm, g.start AS gs, g."end" AS ge, g.strand AS st FROM a ASOF LEFT JOIN g ON a.chr = g.chr AND a.mid <= g.mid),
 nn AS (SELECT lo.chr, lo.start, lo."end", lo.mid, CASE WHEN k THEN lo.id ELSE hi.id END AS id, CASE WHEN k THEN lo.gs ELSE hi.gs END AS gs, CASE WHEN k THEN lo.ge ELSE hi.ge END AS ge, CASE WHEN k THEN lo.st ELSE hi.st END AS st
@@ -117,24 +117,38 @@ def align_ref_positions(spark, sf):
     return en.relative_positions(_aligned(spark, sf), 2000).select(r6("pos").alias("pos"), "step")
 
 
-QUERIES["enrich_ref_positions"], ORACLES["enrich_ref_positions"] = align_ref_positions, ORACLES["align_ref_positions"]
+FLANKS_SQL = """ff AS (SELECT chr, CASE WHEN strand = '-' THEN 'downstream' ELSE 'upstream' END AS type, start - 1500 AS start, start AS "end", strand FROM genome WHERE type = 'gene'
+  UNION ALL SELECT chr, CASE WHEN strand = '-' THEN 'upstream' ELSE 'downstream' END, "end", "end" + 1500, strand FROM genome WHERE type = 'gene'
+  UNION ALL SELECT chr, type, start, "end", strand FROM genome WHERE type = 'gene')"""
 
 
-@query(f"""WITH {POS}, k AS (SELECT round(round(pos, 6) / 0.01)::BIGINT AS k, sum(step)::BIGINT AS step FROM st GROUP BY 1), c AS (SELECT k, sum(step) OVER (ORDER BY k)::BIGINT AS depth FROM k)
-SELECT round(k * 0.01, 6) AS pos, depth FROM c WHERE k BETWEEN -100 AND 200""")
+@query(f"""WITH {GENOME_SQL}, {DMR_SQL}, {FLANKS_SQL},
+o AS (SELECT f.type, f.strand, f.start AS gs, f."end" AS ge, greatest(d.start, f.start) AS a, least(d."end", f."end") AS b FROM dmr d JOIN ff f ON d.chr = f.chr AND d.start < f."end" AND f.start < d."end"),
+p AS (SELECT CASE WHEN strand = '-' THEN ge - b ELSE a - gs END / (ge - gs) + CASE type WHEN 'upstream' THEN -1 WHEN 'downstream' THEN 1 ELSE 0 END AS x,
+  CASE WHEN strand = '-' THEN ge - a ELSE b - gs END / (ge - gs) + CASE type WHEN 'upstream' THEN -1 WHEN 'downstream' THEN 1 ELSE 0 END AS y FROM o)
+SELECT round(x, 6) AS pos, 1 AS step FROM p WHERE x >= -1 AND y <= 2 UNION ALL SELECT round(y, 6), -1 FROM p WHERE x >= -1 AND y <= 2""")
+def enrich_ref_positions(spark, sf):
+    return en.overlap_positions(fx.dmr(spark, sf), fx.genome(spark, sf), 1500).select(r6("pos").alias("pos"), "step")
+
+
+CELLS = """k AS (SELECT greatest(round(round(pos, 6) / 0.01)::BIGINT, -101) AS k, sum(step)::BIGINT AS step FROM st GROUP BY 1), c AS (SELECT k, sum(step) OVER (ORDER BY k)::BIGINT AS depth FROM k)"""
+
+
+@query(f"""WITH {POS}, {CELLS} SELECT round(k * 0.01, 6) AS pos, depth FROM c WHERE k BETWEEN -100 AND 200""")
 def metagene_coverage(spark, sf):
     # cells are hundredths, so two decimals hold a position exactly, as in the SQL
     return en.coverage(align_ref_positions(spark, sf)).select(F.col("pos").cast("decimal(21,2)").alias("pos"), "depth")
 
 
-@query()
+@query(f"""WITH {POS}, {CELLS}, w AS (SELECT CASE floor(k / 100) WHEN -1 THEN (k + 100) * 10 // 100 WHEN 0 THEN 10 + k * 15 // 100 ELSE 25 + (k - 100) * 10 // 100 END::BIGINT AS "window", depth FROM c WHERE k BETWEEN -100 AND 199),
+av AS (SELECT "window", avg(depth) AS depth FROM w GROUP BY 1) SELECT r.range::BIGINT AS "window", round(coalesce(depth, 0), 6) AS depth FROM range(35) r LEFT JOIN av ON r.range = av."window" """)
 def coverage_resampled(spark, sf):
-    return en.resampled(metagene_coverage(spark, sf), 30)
+    return en.resampled(metagene_coverage(spark, sf), 10, 15).withColumn("depth", r6("depth"))
 
 
 @query(f"WITH {READS_SQL} SELECT chr, qname, position, call, qual::INT AS qual, strand, context, m FROM bam")
 def bam_calls(spark, sf):
-    d = reads.decoded(reads.exploded_calls(fx.reads(spark, sf)), min_qual=5)
+    d = reads.decoded(reads.exploded_calls(fx.reads(spark, sf)), min_qual=5, keep_converted=False)
     return d.select("chr", "qname", "position", "call", "qual", "strand", "context", "m")
 
 
@@ -170,6 +184,17 @@ def bam_qc_hist(spark, sf):
     return reads.quality_histogram(fx.reads(spark, sf))
 
 
+@query(f"""WITH {READS_SQL} SELECT "offset"::INT AS "offset", qual::INT AS qual, count(*)::BIGINT AS n FROM raw GROUP BY 1, 2""")
+def bam_qc_by_offset(spark, sf):
+    return reads.quality_histogram(fx.reads(spark, sf), by_offset=True)
+
+
+@query(f"""WITH {READS_SQL}, r AS (SELECT chr, qname, min(position) - min("offset") AS pos, avg(qual) AS q FROM raw WHERE aligned GROUP BY 1, 2)
+SELECT chr, floor(pos / 1000000)::BIGINT AS slab, count(*)::BIGINT AS reads, round(avg(q), 6) AS mean_qual FROM r GROUP BY 1, 2""")
+def bam_qc_slabs(spark, sf):
+    return reads.per_slab(fx.reads(spark, sf)).withColumn("mean_qual", r6("mean_qual"))
+
+
 @query(f"""WITH {READS_SQL} SELECT "offset"::INT AS "offset", round(avg(qual), 6) AS mean_qual, count(*)::BIGINT AS n FROM raw GROUP BY 1""")
 def bam_qc_by_pos(spark, sf):
     return reads.quality_by_offset(fx.reads(spark, sf)).withColumn("mean_qual", r6("mean_qual"))
@@ -184,12 +209,12 @@ pn AS (SELECT chr, "window", first, last, pattern, count(*) AS n FROM wn GROUP B
 
 @query(f"""WITH {PAT} SELECT chr, "window", first, last, round(abs(sum(share * log2(share)) / 4), 6) AS entropy, max(depth)::BIGINT AS depth FROM sh WHERE depth >= 4 GROUP BY 1, 2, 3, 4""")
 def methylation_entropy(spark, sf):
-    return reads.methylation_entropy(fx.calls(spark, sf)).withColumn("entropy", r6("entropy")).withColumn("window", F.col("window").cast("long"))
+    return reads.methylation_entropy(fx.calls(spark, sf)).drop("positions").withColumn("entropy", r6("entropy")).withColumn("window", F.col("window").cast("long"))
 
 
 @query(f"""WITH {PAT} SELECT chr, "window", first, last, round(1 - sum(share * share), 6) AS epipolymorphism, max(depth)::BIGINT AS depth FROM sh WHERE depth >= 4 GROUP BY 1, 2, 3, 4""")
 def epipolymorphism(spark, sf):
-    return reads.epipolymorphism(fx.calls(spark, sf)).withColumn("epipolymorphism", r6("epipolymorphism")).withColumn("window", F.col("window").cast("long"))
+    return reads.epipolymorphism(fx.calls(spark, sf)).drop("positions").withColumn("epipolymorphism", r6("epipolymorphism")).withColumn("window", F.col("window").cast("long"))
 
 
 @query(f"""WITH {CALLS_SQL}, r AS (SELECT chr, qname, min(m) = max(m) AS same, count(*) AS n FROM calls GROUP BY 1, 2)

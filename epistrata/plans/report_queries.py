@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.density import NAN
 from ..operators import binomial, genome, replicates
 from ..sources import annotation, reports
-from .fixtures import CALLS_SQL, FLANK, GENOME_SQL, REG_SQL, cyt_sql, cytosines, mg_sql, r6, reads, shown, table
+from .fixtures import FLANK, GENOME_SQL, REG_SQL, cyt_sql, cytosines, r6, shown, table
 from . import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
@@ -61,7 +60,9 @@ def scan_coverage(spark, sf):
     return uni(reports.from_coverage(reports.to_coverage(c).withColumnRenamed("start", "position"), _index(c.where("position % 3 <> 0"))))
 
 
-@query()
+@query(f"""WITH {cyt_sql()}, ix AS (SELECT chr, position, min(strand) AS strand, min(context) AS context FROM cyt GROUP BY 1, 2), b AS (SELECT *, count_m / count_total * 100 / 100.0 AS x FROM cyt WHERE count_total <> 0),
+r AS (SELECT *, list_min(list_transform(range(1, 101), lambda k: {{'off': round(abs(x - floor(x * k + 0.5) / k), 12), 'total': k, 'm': floor(x * k + 0.5)::BIGINT}})) AS r FROM b)
+SELECT r.chr, ix.strand, r.position, ix.context, ix.context AS trinuc, r.r.m::BIGINT AS count_m, r.r.total::BIGINT AS count_total, round(x, 6) AS density FROM r LEFT JOIN ix ON r.chr = ix.chr AND r.position = ix.position""")
 def scan_bedgraph(spark, sf):
     c = cytosines(spark, sf)
     d = reports.to_bedgraph(c).withColumn("density", F.col("density") * 100)
@@ -112,20 +113,18 @@ def replicates_merge(spark, sf):
     return uni(replicates.merge([cytosines(spark, sf, i) for i in (0, 1)]))
 
 
-SEQ_SQL = r"""sq AS (SELECT doc_id::VARCHAR AS chr, upper(regexp_replace(text, '[^A-Za-z]', 'N', 'g')) AS s FROM documents WHERE lang = 'en' AND doc_id % 5 = 0),
+SEQ_SQL = r"""sq AS (SELECT doc_id::VARCHAR AS chr, upper(regexp_replace(text, '[^A-Za-z]', 'N', 'g')) AS s FROM documents),
 b AS (SELECT chr, s, unnest(range(1, length(s) + 1)) AS position FROM sq WHERE length(s) >= 3)"""
 
 
-@query(rf"""WITH {SEQ_SQL.replace(' AND doc_id % 5 = 0', '')},
+@query(rf"""WITH {SEQ_SQL},
 x AS (SELECT chr, position, s[position] AS c, s[position:position + 2] AS ahead, s[greatest(position - 2, 1):greatest(position - 2, 1) + 2] AS behind, length(s) AS n FROM b)
 SELECT chr, position::BIGINT AS position, true AS strand, CASE WHEN ahead[2] = 'G' THEN 'CG' WHEN ahead[3] = 'G' THEN 'CHG' ELSE 'CHH' END AS context, ahead AS trinuc FROM x WHERE c = 'C' AND position <= n - 2
 UNION ALL SELECT chr, position::BIGINT, false, CASE WHEN behind[2] = 'C' THEN 'CG' WHEN behind[1] = 'C' THEN 'CHG' ELSE 'CHH' END,
   reverse(translate(replace(behind, 'M', ''), 'ATGCURYKBDHVN', 'TACGRUKYNNNNN')) FROM x WHERE c = 'G' AND position >= 3""")
 def cytosine_index(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
-    s = d.select(F.col("doc_id").cast("string").alias("chr"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "N")).alias("sequence"))
-    c = annotation.cytosines(s)
-    return c.withColumn("position", F.col("position").cast("long"))
+    d = table(spark, sf, "documents")
+    return annotation.cytosines(d.select(F.col("doc_id").cast("string").alias("chr"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "N")).alias("sequence")))
 
 
 @query(f"WITH {cyt_sql()} SELECT chr, position, strand, count_m, count_total - count_m AS count_um, context, trinuc FROM cyt")

@@ -12,6 +12,7 @@ from ..functions.density import covered, density
 from ..functions.stats import rational
 
 UNIVERSAL = ["chr", "strand", "position", "context", "trinuc", "count_m", "count_total", "density"]
+TYPES = {"chr": "string", "strand": "string", "position": "long", "context": "string", "trinuc": "string", "count_m": "long", "count_total": "long", "density": "double"}
 #: The columns of the text formats, in order.
 SCHEMAS = {
     "bismark": "chr string, position long, strand string, count_m long, count_um long, context string, trinuc string",
@@ -25,12 +26,14 @@ def validated(df: DataFrame, columns: list[str] = UNIVERSAL) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise KeyError(f"missing columns: {', '.join(missing)}")
-    return df.select(*columns)
+    return df.select(*[F.col(c).cast(TYPES[c]) if c in TYPES else F.col(c) for c in columns])
 
 
 def text_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Tab-separated rows without header; rows that don't fit the schema go. Gzip is read as it is, by one task a file."""
-    return spark.read.csv(path, sep="\t", schema=SCHEMAS[kind], header=False, quote="", mode="DROPMALFORMED")
+    """Tab-separated rows without header; rows that don't fit the schema go. A gzip file is read by one task, and its rows dealt out again if it is
+    the only one."""
+    d = spark.read.csv(path, sep="\t", schema=SCHEMAS[kind], header=False, quote="", mode="DROPMALFORMED")
+    return d.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else d
 
 
 def from_bismark(d: DataFrame) -> DataFrame:

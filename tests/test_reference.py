@@ -68,7 +68,7 @@ def test_reports_round_trip(spark, tmp_path):
 
 
 def test_rational(spark):
-    d = spark.createDataFrame([(1 / 3,), (0.5,), (float("nan"),), (None,)], "x double").select(stats.rational("x", F.lit(100)).alias("r")).collect()
+    d = spark.createDataFrame([(1 / 3,), (0.5,), (float("nan"),), (None,)], "x double").select(stats.rational(F.col("x"), F.lit(100)).alias("r")).collect()
     assert [(r.r.m, r.r.total) if r.r else r.r for r in d][:2] == [(1, 3), (1, 2)] and all(r.r is None or r.r.m is None for r in d[2:])
 
 
@@ -104,6 +104,7 @@ def test_student_and_smoothing():
     assert np.allclose(stats.savitzky_golay(y, 5)[3:-3], y[3:-3]) and len(stats.savitzky_golay(y, 2)) == 20
     assert np.isnan(stats.savitzky_golay([1, math.nan], 5)).any()
     assert abs(stats.correlation_p(0.5, 20) - 0.0248) < 1e-3
+    assert np.allclose(stats.lgamma([0.5, 1, 7.25, 4e5]), [math.lgamma(x) for x in (0.5, 1, 7.25, 4e5)], rtol=1e-13)
 
 
 def test_resize_and_trim(spark):
