@@ -96,16 +96,17 @@ def _marked(batches):
 
 def stretches(mark: np.ndarray, at: np.ndarray, of: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, length) of stretches among the windows at ``at``, as places in ``at``: at most RUN neighbours of one mark and text, so that the
-    first and the last hold all words between; windows one by one where a text's windows aren't all different."""
+    first and the last hold all words between; windows one by one where a stretch's aren't all different."""
     if not len(at):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     new = np.r_[True, (at[1:] != at[:-1] + 1) | (mark[at[1:]] != mark[at[:-1]]) | (of[1:] != of[:-1])]
     run = np.flatnonzero(new)
-    place = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
-    order = np.lexsort((hashed[at], of))
-    h, o = hashed[at][order], of[order]
-    again = np.unique(o[1:][(h[1:] == h[:-1]) & (o[1:] == o[:-1])])
-    first = np.flatnonzero(new | (place % RUN == 0) | np.isin(of, again))
+    new |= (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % RUN == 0
+    stretch = np.cumsum(new)
+    order = np.lexsort((hashed[at], stretch))
+    h, s = hashed[at][order], stretch[order]
+    again = np.unique(s[1:][(h[1:] == h[:-1]) & (s[1:] == s[:-1])])
+    first = np.flatnonzero(new | np.isin(stretch, again))
     return first, np.diff(np.r_[first, len(at)])
 
 
