@@ -1,7 +1,7 @@
 """Repeated passages: runs of 51 words or more that stand in two places, whatever surrounds them and however lines break.
 
 The paragraphs compared here are all windows of 51 words, at every place of a text. A window's band is one minimum, the least hash among
-its 40 runs of 12 words (MinHash over them, as in winnowing), so equal windows have equal marks. Only windows whose mark stands in two places are hashed whole; equal hashes are equal windows. Neighbouring windows of one
+its 27 runs of 25 words (MinHash over them, as in winnowing), so equal windows have equal marks. Only windows whose mark stands in two places are hashed whole; equal hashes are equal windows. Neighbouring windows of one
 mark travel as a stretch, and stretches alike as one; windows are compared one by one only where a mark has stretches that differ."""
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words of a window, and of the runs that mark it: shorter runs make fewer marks, but more that windows unlike share by chance.
-RUN, GRAM = 51, 12
+RUN, GRAM = 51, 25
 WINDOW = RUN - GRAM + 1
 #: Texts whose words are hashed in one array.
 TEXTS = 64
