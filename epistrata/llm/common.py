@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,28 +58,45 @@ def table_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Makes Spark delete an execution's shuffle files at its end. Else they stay until the driver's full collections find what refers to them dead.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside leaves no shuffle files. For writes, whose plan nothing executes again; the setting is put back afterwards."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here, and a lost executor costs nothing of it."""
+    """``df`` as a Parquet table in the shared folder: lineage ends here, and a lost executor costs nothing of it. Its shuffle files go with the write."""
     path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """``build()``'s rows as a table. The tables written on the way are deleted as soon as it is there, so they don't pile up
-    under later operators; nor do shuffle files, which Spark deletes once the driver has collected what refers to them."""
+    under later operators; nor do the write's shuffle files."""
     path = table_path(spark, name)
     _under_way.append([])
     try:
         df = build()
         schema = df.schema
-        df.write.parquet(path)
+        with _shuffles_deleted(spark):
+            df.write.parquet(path)
     finally:
         for used in _under_way.pop():
             delete(spark, used)
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -669,6 +671,23 @@ def test_pipeline_stages(spark):
     assert sum(r.length for r in packed) == sum(len(plain.encode(r.text, add_special_tokens=False).ids) + 1 for r in kept.collect())
 
 
+def test_writes_leave_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    kept = lambda: {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before, setting = kept(), spark.conf.get(common.CLEANUP)
+    rows = lambda: spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    rows().write.format("noop").mode("overwrite").save()
+    assert kept() - before  # what an execution leaves otherwise
+    before = kept()
+    tables = [common.written(rows(), "test_shuffled"), common.settled(spark, "test_shuffled", rows)]
+    for _ in range(50):  # they are deleted a little later
+        if kept() <= before:
+            break
+        time.sleep(0.1)
+    assert kept() <= before and spark.conf.get(common.CLEANUP) == setting
+    assert [t.count() for t in tables] == [10, 10]
+
+
 def test_settled_tables_leave_nothing_on_the_way(spark):
     left = []
 
