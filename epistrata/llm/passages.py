@@ -2,7 +2,8 @@
 
 The paragraphs compared here are all windows of 51 words, at every place of a text. A window's band is one minimum, the least hash among
 its 40 runs of 12 words (MinHash over them, as in winnowing), so equal windows have equal marks. Only windows whose mark stands in two places are hashed whole; equal hashes are equal windows. Neighbouring windows of one
-mark travel as a stretch, and stretches alike as one; windows are compared one by one only where a mark has stretches that differ."""
+mark travel as a stretch, and stretches alike as one; windows are compared one by one only where a mark has stretches that differ or that repeat a
+window themselves, as in a text that says two words over and over, and then once for all stretches alike."""
 
 from __future__ import annotations
 
@@ -94,20 +95,21 @@ def _marked(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["row", "marks"])
 
 
-def stretches(mark: np.ndarray, at: np.ndarray, of: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, length) of stretches among the windows at ``at``, as places in ``at``: at most RUN neighbours of one mark and text, so that the
-    first and the last hold all words between; windows one by one where a stretch's aren't all different."""
+def stretches(mark: np.ndarray, at: np.ndarray, of: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, length, whether its windows aren't all different) of stretches among the windows at ``at``, as places in ``at``: at most RUN
+    neighbours of one mark and text, so that the first and the last hold all words between."""
     if not len(at):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
     new = np.r_[True, (at[1:] != at[:-1] + 1) | (mark[at[1:]] != mark[at[:-1]]) | (of[1:] != of[:-1])]
     run = np.flatnonzero(new)
     new |= (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % RUN == 0
-    stretch = np.cumsum(new)
+    stretch = np.cumsum(new) - 1
     order = np.lexsort((hashed[at], stretch))
     h, s = hashed[at][order], stretch[order]
-    again = np.unique(s[1:][(h[1:] == h[:-1]) & (s[1:] == s[:-1])])
-    first = np.flatnonzero(new | np.isin(stretch, again))
-    return first, np.diff(np.r_[first, len(at)])
+    first = np.flatnonzero(new)
+    again = np.zeros(len(first), dtype=bool)
+    again[s[1:][(h[1:] == h[:-1]) & (s[1:] == s[:-1])]] = True
+    return first, np.diff(np.r_[first, len(at)]), again
 
 
 def _stretches(batches):
@@ -122,7 +124,7 @@ def _stretches(batches):
             at = np.flatnonzero(whole & np.isin(mark, some))  # a mark that stands in two places does so for every text
             hashed = hashes(words, RUN)
             of = np.searchsorted(ends, at, side="right")
-            first, n = stretches(mark, at, of, hashed)
+            first, n, again = stretches(mark, at, of, hashed)
             start, of = at[first], of[first]
             begin = np.r_[0, ends][of]
             lines = np.cumsum([len(x.split()) for t in raw for x in t.split(b"\n")])  # where each line ends
@@ -147,16 +149,24 @@ def _stretches(batches):
             rows = pa.array(of, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(rows), part.column(1).take(rows), pa.array(start - begin, pa.int32()), pa.array(n, pa.int32()), pa.array(line - before, pa.int32()),
-                 lists(breaks, cuts, pa.int32()), pa.array(mark[start].view(np.int64)), pa.array(span.view(np.int64)), lists(sent, flat.view(np.int64), pa.int64(), pa.array(sent == 0))],
-                names=["row", "doc_id", "pos", "n", "line", "breaks", "mark", "span", "windows"])
+                 lists(breaks, cuts, pa.int32()), pa.array(mark[start].view(np.int64)), pa.array(span.view(np.int64)), pa.array(again), lists(sent, flat.view(np.int64), pa.int64(), pa.array(sent == 0))],
+                names=["row", "doc_id", "pos", "n", "line", "breaks", "mark", "span", "again", "windows"])
+
+
+def _goes_on(back):
+    """Whether a window's first occurrence, ``back`` words before where the first occurrence of the window before would go on, follows it or
+    begins again less than RUN words before its place, as it does where a text's words recur within a window."""
+    return (back >= 0) & (back <= RUN)
 
 
 def _joined(batches):
-    """Pieces of stretches sorted by (row, pos) become passages: windows one after the other whose first occurrences are, too."""
+    """Pieces of stretches sorted by (row, pos) become passages, by the rule that ``_goes_on`` has for windows."""
 
     def flush(t):
-        row, pos, n, first_row, first_pos = (t.column(c).to_numpy() for c in ("row", "pos", "n", "first_row", "first_pos"))
-        new = np.r_[True, (row[1:] != row[:-1]) | (pos[1:] != (pos + n)[:-1]) | (first_row[1:] != first_row[:-1]) | (first_pos[1:] != (first_pos + n)[:-1])]
+        row, pos, n, first_row, first_pos, past = (t.column(c).to_numpy() for c in ("row", "pos", "n", "first_row", "first_pos", "past"))
+        kept = (row == first_row) & (pos == first_pos)
+        new = np.r_[True, (row[1:] != row[:-1]) | (pos[1:] != (pos + n)[:-1]) | (kept[1:] != kept[:-1]) | (first_row[1:] != first_row[:-1])
+                    | ~_goes_on(past[:-1].astype(np.int64) - first_pos[1:])]
         start = np.flatnonzero(new)
         return start, np.add.reduceat(n.astype(np.int64), start), t
 
@@ -186,8 +196,8 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Words are as in ``paragraphs`` (A-Z lowered). ``start`` counts a text's words from 0, ``paragraph`` is the line of the first.
     A window's first occurrence by (doc_id, row, start), nulls first, is kept, the others are to go. A passage is a longest
-    stretch of windows whose first occurrences also follow one another; ``cluster`` is the hash of where these begin, ``copies``
-    the most occurrences that one of them has. Rows alike in doc_id and text are one document, which comes out once, its
+    stretch of windows, all kept or none, whose first occurrences also follow one another or, in words that recur within a window, begin again;
+    ``cluster`` is the hash of where the first one begins, ``copies`` the most occurrences that one of them has. Rows alike in doc_id and text are one document, which comes out once, its
     windows counted for each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select(F.xxhash64("doc_id", F.col(text)).alias("row"), "doc_id", F.col(text).alias("text"))
@@ -197,25 +207,31 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     of = each.join(twice, "mark").groupBy("row").agg(F.collect_set("mark").alias("marks"))
     all_ = common.written(
         given.join(of, "row").select("row", "doc_id", "text", "marks").mapInArrow(
-            _stretches, f"row long, doc_id {kind}, pos int, n int, line int, breaks array<int>, mark long, span long, windows array<long>"), "stretches")
+            _stretches, f"row long, doc_id {kind}, pos int, n int, line int, breaks array<int>, mark long, span long, again boolean, windows array<long>"), "stretches")
     place = F.struct("doc_id", "row", "pos")
-    spans = common.written(all_.groupBy("span", "mark", "n").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "spans")
-    mixed = spans.groupBy("mark").agg(F.count("*").alias("k")).where("k > 1").select("mark")
-    whole = spans.where("copies > 1").join(mixed, "mark", "left_anti").select("span", F.lit(0).alias("off"), F.col("n").alias("piece"), "copies", "first")
+    spans = common.written(all_.groupBy("span", "mark", "n", "again").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "spans")
+    mixed = spans.groupBy("mark").agg(F.count("*").alias("k"), F.max("again").alias("again")).where("k > 1 or again").select("mark")
+    whole = spans.where("copies > 1").join(mixed, "mark", "left_anti").select(
+        "span", F.lit(0).alias("off"), F.col("n").alias("piece"), "copies", "first", (F.col("first.pos") + F.col("n")).alias("past"))
     # one text's stretch stands for all alike; its windows against those of the mark's other stretches
     unlike = spans.join(mixed, "mark", "left_semi").select("span", F.col("copies").alias("alike"), F.col("first").alias("at"))
     known = all_.where("windows is not null").select("mark", "span", "windows").join(mixed, "mark", "left_semi").dropDuplicates(["span"]).select("span", "windows")
     single = common.written(unlike.join(known, "span").select("span", "alike", "at", F.posexplode("windows").alias("off", "window")), "windows")
     here = F.struct(F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row"), (F.col("at.pos") + F.col("off")).alias("pos"))
     again = single.groupBy("window").agg(F.sum("alike").alias("copies"), F.min(here).alias("first")).where("copies > 1")
-    one = single.join(again, "window").select("span", "off", "copies", "first", (F.col("first.pos") - F.col("off")).alias("shift"))
-    island = Window.partitionBy("span", "first.row", "shift", "copies").orderBy("off")
-    pieces = one.withColumn("island", F.col("off") - F.row_number().over(island)).groupBy("span", F.col("first.row").alias("of"), "shift", "copies", "island").agg(
-        F.min("off").alias("off"), F.count("*").cast("int").alias("piece"), F.min("first").alias("first")).select("span", "off", "piece", "copies", "first")
+    one = single.join(again, "window").select("span", "off", "copies", "first", here.eqNullSafe(F.col("first")).alias("own"))
+    # only where all stretches alike have it first may a window be kept: elsewhere it is never its own first occurrence
+    turn = Window.partitionBy("span").orderBy("off")
+    before = lambda c: F.lag(c).over(turn)
+    goes_on = (F.col("off") == before("off") + 1) & (F.col("own") == before("own")) & (F.col("first.row") == before("first.row")) & _goes_on(before("first.pos") + 1 - F.col("first.pos"))
+    islands = one.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("island", F.sum("new").over(turn))
+    pieces = islands.groupBy("span", "island").agg(
+        F.min("off").alias("off"), F.count("*").cast("int").alias("piece"), F.max("copies").alias("copies"), F.min_by("first", "off").alias("first"),
+        F.max_by(F.col("first.pos") + 1, "off").alias("past")).select("span", "off", "piece", "copies", "first", "past")
     found = all_.select("row", "doc_id", "pos", "line", "breaks", "span").join(whole.union(pieces), "span").select(
         "row", "doc_id", (F.col("pos") + F.col("off")).alias("pos"), F.col("piece").alias("n"),
         (F.col("line") + F.size(F.filter("breaks", lambda x: x <= F.col("off")))).cast("int").alias("line"), F.xxhash64("first.doc_id", "first.row", "first.pos").alias("cluster"),
-        "copies", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos"))
+        "copies", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos"), "past")
     return found.dropDuplicates(["row", "doc_id", "pos"]).repartition("row").sortWithinPartitions("row", "pos").mapInArrow(
         _joined, f"row long, doc_id {kind}, paragraph int, start int, n_words int, cluster long, copies long, kept boolean, first_doc_id {kind}")
 

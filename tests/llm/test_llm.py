@@ -12,6 +12,8 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -399,6 +401,34 @@ def test_passages_against_all_runs_of_51_words(spark, docs):
     assert got == want and len(want) > 100
 
 
+def test_words_said_over_and_over_stay_whole(spark):
+    """Two words by turns in many texts: few stretches and passages a text, not one for each window; all windows as brute force has them."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"r{rng.randrange(10**9)}" for _ in range(n)]
+    three = fresh(3)
+    texts = [" ".join(fresh(i % 7) + ["das", "und"][i % 2 :] + ["das", "und"] * (100 + i) + fresh(i % 5)) for i in range(30)] + [" ".join(three * 60), " ".join(three[1:] + three * 20 + fresh(60)), "y " * 200]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    places = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for k in range(len(w) - 50):
+            places.setdefault(tuple(w[k : k + 51]), []).append((i, k))
+    want = {p: (p == min(v), len(v)) for v in places.values() if len(v) > 1 for p in v}
+    got, rows = {}, passages.repeated(d).collect()
+    for r in rows:
+        at = range(r.start, r.start + r.n_words - 50)
+        assert r.copies == max(want[r.doc_id, i][1] for i in at)
+        for i in at:
+            assert (r.doc_id, i) not in got
+            got[r.doc_id, i] = r.kept
+    assert got == {p: v[0] for p, v in want.items()} and len(want) > 5000
+    assert len(rows) <= 3 * len(texts)
+    marked = [(i, t, np.unique(passages.hashes(passages.joined_hashes([t])[0], passages.GRAM)).view(np.int64).tolist()) for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array([m[0] for m in marked]), pa.array([m[0] for m in marked]), pa.array([m[1] for m in marked]), pa.array([m[2] for m in marked], pa.list_(pa.int64()))], names=["row", "doc_id", "text", "marks"])
+    made = pa.Table.from_batches(passages._stretches(iter([batch])))
+    assert pa.compute.sum(made.column("n")).as_py() >= len(want) and made.num_rows < len(want) / 10
+
+
 def test_rows_alike_are_one_document(spark):
     """Two rows of one doc_id and text: one is kept, once; another document with the text loses it."""
     rng = random.Random(4)
