@@ -28,6 +28,8 @@ from .tokens import encoder
 #: A cut where the rolling hash of the last WINDOW ids ends in MASK zero bits, so about every 512 ids.
 WINDOW, MASK, LEAST, MOST = 16, (1 << 9) - 1, 64, 4096
 MULTIPLIER = 0x9E3779B97F4A7C15
+#: Pieces that a worker's encoder keeps in each of two generations. A task holds chunks and recipes beside them, and an executor runs several.
+KEPT = 400_000
 #: Documents of one manifest.
 PART = 4096
 
@@ -75,7 +77,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 def _encode(path: str, end_id: int, dtype: str, text_at: int):
     def run(batches):
-        enc, seen = encoder(path), set()
+        enc, seen = encoder(path, KEPT), set()
         for b in batches:
             for k in range(0, b.num_rows, 128):
                 part = b.slice(k, 128)

@@ -254,6 +254,17 @@ def test_encoder_equals_the_tokenizer(docs, name):
         assert enc.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(t[:50])
 
 
+def test_the_store_keeps_few_pieces_in_a_worker(monkeypatch):
+    """What the store's encoder keeps is bounded by its own limit, and ids don't depend on it."""
+    path, made = public_tokenizers.path("word_bpe_49k.json"), []
+    monkeypatch.setattr(token_store, "encoder", lambda *a: made.append(tokens.PieceEncoder(*a)) or made[-1])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words and some"])], names=["doc_id", "text"])
+    rows = [list(token_store._encode(path, 1, "<u2", 1)(iter([batch])))]
+    monkeypatch.setattr(token_store, "KEPT", 2)
+    rows.append(list(token_store._encode(path, 1, "<u2", 1)(iter([batch]))))
+    assert rows[0] == rows[1] and [e.kept for e in made] == [400_000, 2]
+
+
 def test_store_round_trip(spark, docs, odd):
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for table in (docs, odd, docs.limit(0)):
