@@ -87,12 +87,35 @@ def binom_tail(m: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series(np.where(np.isnan(m) | np.isnan(n) | np.isnan(p), np.nan, out)).astype("Float64").mask(np.isnan(m) | np.isnan(n) | np.isnan(p))
 
 
-def rational(share, most):
-    """(m, total): the fraction nearest to a share with a denominator of ``most`` or less, the smallest one of those; nulls for null and NaN."""
-    m = lambda k: F.floor(share * k + 0.5).cast("long")
-    best = F.array_min(F.transform(F.sequence(F.lit(1), most), lambda k: F.struct(F.round(F.abs(share - m(k) / k), 12).alias("off"), k.cast("long").alias("total"), m(k).alias("m"))))
-    known = share.isNotNull() & ~F.isnan(share)
-    return F.struct(F.when(known, best["m"]).alias("m"), F.when(known, best["total"]).alias("total"))
+def _half_up(v: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as DuckDB rounds numbers that aren't negative: scaled, to the nearest whole number, halves up."""
+    v = v * 10.0**digits
+    whole = np.floor(v)
+    return (whole + (v - whole >= 0.5)) / 10.0**digits
+
+
+@F.pandas_udf(T.StructType([T.StructField("m", T.LongType()), T.StructField("total", T.LongType())]))
+def rational(share: pd.Series, most: pd.Series) -> pd.DataFrame:
+    """(m, total): the fraction nearest to a share with a denominator of ``most`` or less, the smallest one of those; nulls for null, NaN and infinity.
+
+    In Arrow batches, a denominator at a time for all rows that it can still bring nearer."""
+    x, most = (v.to_numpy(float, na_value=np.nan) for v in (share, most))
+    known = np.isfinite(x) & (most >= 1)
+    m, total = np.zeros(len(x), dtype="int64"), np.ones(len(x), dtype="int64")
+    at = np.flatnonzero(known)
+    z, limit, off = x[at], most[at], np.full(len(at), np.inf)
+    for k in range(1, int(limit.max(initial=0)) + 1):
+        near = np.floor(z * k + 0.5)
+        to = _half_up(np.abs(z - near / k), 12)
+        better = (to < off) & (k <= limit)
+        m[at[better]], total[at[better]] = near[better], k
+        off = np.where(better, to, off)
+        left = (off > 0) & (k < limit)
+        if 2 * np.count_nonzero(left) < len(left):
+            at, z, limit, off = at[left], z[left], limit[left], off[left]
+            if not len(at):
+                break
+    return pd.DataFrame({c: pd.Series(v, dtype="Int64").mask(~known) for c, v in (("m", m), ("total", total))})
 
 
 def savitzky_golay(values, window: int, order: int = 3) -> np.ndarray:

@@ -72,6 +72,24 @@ def test_rational(spark):
     assert [(r.r.m, r.r.total) if r.r else r.r for r in d][:2] == [(1, 3), (1, 2)] and all(r.r is None or r.r.m is None for r in d[2:])
 
 
+def test_rational_in_batches(spark):
+    """As the SQL tells the nearest fraction, row by row with a limit of its own, ties to the smallest denominator; in batches, and once for both fields."""
+    def nearest(x, most):
+        def off(k):
+            v = abs(x - math.floor(x * k + 0.5) / k) * 1e12
+            return (math.floor(v) + (v - math.floor(v) >= 0.5), k)
+        k = min(range(1, most + 1), key=off)
+        return math.floor(x * k + 0.5), k
+
+    data = [(m / t, most) for t in (1, 2, 3, 7, 64, 99, 100, 101, 250, 9973) for m in range(0, t + 1, max(1, t // 40)) for most in (1, 5, 100, 130)]
+    d = spark.createDataFrame(data, "x double, most long").select("x", "most", stats.rational(F.col("x"), F.col("most")).alias("r"))
+    assert [(r.r.m, r.r.total) for r in d.collect()] == [nearest(*x) for x in data]
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (1.25,)], "x double").select(stats.rational(F.col("x"), F.lit(100)).alias("r")).collect()
+    assert [(r.r.m, r.r.total) for r in odd] == [(None, None)] * 3 + [(5, 4)]
+    both = spark.range(9).select((F.col("id") / 8).alias("x")).select(stats.rational(F.col("x"), F.lit(100)).alias("r")).select("r.m", "r.total")
+    assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_golden_regions(spark):
     g = spark.createDataFrame([("1", "gene", 3631, 5899, "+", "a"), ("1", "exon", 3631, 3913, "+", "b"), ("1", "gene", 2000, 9000, "+", "c"), ("1", "gene", 5000, 5100, "+", "d")], "chr string, type string, start long, end long, strand string, id string")
     one = lambda d, i: {k: v for k, v in d.where(F.col("id") == i).first().asDict().items() if k in ("start", "end", "upstream", "downstream")}
