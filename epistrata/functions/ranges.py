@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 
 #: Rows aimed at in a range, and ranges at most: the driver holds their boundaries.
 ROWS, MOST = 100_000, 65_536
+#: Bytes of the files behind a table for each partition that it is dealt to, and partitions at most.
+SHARE, PARTITIONS = 8 << 20, 20_000
 #: Ranges that a group's values are cut into on the way to a quantile.
 CUTS = 64
 
 
+def dealt(d: DataFrame, *keys: str) -> DataFrame:
+    """``d`` dealt by ``keys`` to partitions whose number follows the size of the files it is read from, so what a task sorts or holds by key doesn't
+    grow with the input; left to itself, Spark joins partitions up to a size that takes many times as much in memory."""
+    spark = d.sparkSession
+    leaves = d._jdf.queryExecution().optimizedPlan().collectLeaves() if not d.isStreaming else None
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())] if leaves is not None else []
+    n = int(sum(s for s in sizes if s < 1 << 50) // SHARE)  # what isn't read from files may have no size
+    return d.repartition(min(PARTITIONS, max(spark.sparkContext.defaultParallelism, n)), *keys)
+
+
 def range_of(key: Column, boundaries: list[float]) -> Column:
     """How many of the ascending ``boundaries`` are at or below ``key``: a binary search over one array literal."""
     if not boundaries:

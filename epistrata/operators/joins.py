@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Base pairs of a bin. A region is copied once per bin it touches.
 BIN = 20_000
+#: Base pairs of the stretches in which regions are put in order: as many regions at most that begin apart.
+STRETCH = 2_000_000
 
 
 def _exploded(df: DataFrame, lo: Column, hi: Column, bin_size: int) -> DataFrame:
@@ -18,12 +20,16 @@ def asof_backward(left: DataFrame, regions: DataFrame, key: str = "upstream", en
     """Each left row with the one region of its ``by`` whose ``key`` is nearest at or below ``at``, if ``at`` <= its ``end`` (None: any).
 
     A region's reach ends where the next begins, so the as-of join is a join with disjoint intervals, and the upper limit
-    prunes their bins. Regions that begin together: the longest, then the smallest ``tie``. No task holds a chromosome's left rows;
-    its regions, which an annotation bounds, are ordered by one. ``how``: left keeps left rows without region. ``last``: for open ends, one
+    prunes their bins. Regions that begin together: the longest, then the smallest ``tie``. No task holds a chromosome's left rows or
+    regions: these are ordered by stretches, and a stretch's last one looks up where the next stretch with regions begins. ``how``: left keeps left rows without region. ``last``: for open ends, one
     row with the largest ``at`` (``_last``), if it is known."""
-    w = Window.partitionBy(by, key).orderBy(*([F.col(end).desc()] if end else []), *([tie] if isinstance(tie, str) else tie))
-    one = regions.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    nxt = F.lead(key).over(Window.partitionBy(by).orderBy(key)) - 1
+    known = regions.where(F.col(key).isNotNull()).withColumn("_stretch", F.floor(F.col(key) / STRETCH))
+    w = Window.partitionBy(by, "_stretch").orderBy(key, *([F.col(end).desc()] if end else []), *([tie] if isinstance(tie, str) else tie))
+    one = known.withColumn("_same", F.lag(key).over(w)).where("_same is null or _same <> `%s`" % key).drop("_same")
+    begins = known.groupBy(by, "_stretch").agg(F.min(key).alias("_begin"))  # a row per stretch
+    begins = begins.select(by, "_stretch", F.lead("_begin").over(Window.partitionBy(by).orderBy("_stretch")).alias("_begin"))
+    one = one.withColumn("_next", F.lead(key).over(Window.partitionBy(by, "_stretch").orderBy(key))).join(begins, [by, "_stretch"], "left").drop("_stretch")
+    nxt = F.coalesce(F.col("_next"), F.col("_begin")) - 1
     if end is None:  # open ends: up to the last position of the left side
         last = left.agg(F.max(at).alias("_last")) if last is None else last
         one = one.crossJoin(F.broadcast(last))  # one row

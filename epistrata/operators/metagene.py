@@ -114,13 +114,13 @@ def trim_flank(m: Metagene, upstream: bool = True, downstream: bool = True) -> M
 
 
 def merged(samples: list[Metagene]) -> Metagene:
-    """Sums over samples of equal windows."""
+    """Sums over samples of equal windows. They are dealt out by region first: else a task would hold the sums of each sample beside those of all."""
     if len({(m.up, m.body, m.down) for m in samples}) > 1:
         raise ValueError("samples differ in their windows")
     d = samples[0].df
     for m in samples[1:]:
         d = d.unionByName(m.df)
-    return samples[0].of(_summed(d, KEY))
+    return samples[0].of(_summed(ranges.dealt(d, "chr", "start"), KEY))
 
 
 def labelled(samples: dict[str, Metagene]) -> DataFrame:

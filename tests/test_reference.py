@@ -1,6 +1,7 @@
 """Readers, writers and statistics, and every query against its SQL on the smallest tables."""
 
 import math
+import os
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from epistrata import cli
-from epistrata.functions import stats
+from epistrata.functions import ranges, stats
 from epistrata.functions.density import binom_sf
 from epistrata.operators import clusters, genome, joins, metagene, reads
 from epistrata.plans import fixtures, registry
@@ -90,6 +91,36 @@ def test_rational_in_batches(spark):
     assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
+def test_regions_ordered_by_stretches(spark, monkeypatch):
+    """As of, against brute force, with regions that begin together, empty stretches and places below 0; no task orders a chromosome's regions."""
+    monkeypatch.setattr(joins, "STRETCH", 50)
+    rng = np.random.default_rng(3)
+    begin = rng.choice([*range(-120, 0, 7), *range(300, 420), *range(2000, 2600, 40)], 300)
+    data = [(f"c{k % 2}", int(b), int(b + rng.integers(0, 160)), f"r{k:03}") for k, b in enumerate(begin)]
+    at = [(f"c{k % 2}", int(p)) for k, p in enumerate(rng.integers(-150, 2800, 800))]
+    left = spark.createDataFrame(at, "chr string, position long")
+    d = joins.asof_backward(left, spark.createDataFrame(data, "chr string, upstream long, downstream long, id string"), bin_size=70)
+
+    def nearest(c, p):
+        found = max((r for r in data if r[0] == c and r[1] <= p), key=lambda r: (r[1], r[2], -int(r[3][1:])), default=None)
+        return [(c, p, found[3])] if found and p <= found[2] else []
+
+    assert sorted((r.chr, r.position, r.r_id) for r in d.collect()) == sorted(x for c, p in at for x in nearest(c, p))
+    leads = [x for x in d._jdf.queryExecution().optimizedPlan().toString().splitlines() if "lead(upstream" in x]
+    assert leads and all("windowspecdefinition(chr" in x and ", _stretch" in x.split("windowspecdefinition(")[1] for x in leads)
+
+
+def test_merged_samples_dealt_by_size(spark, monkeypatch):
+    """Tasks of a merge grow in number with the files, not in what they hold."""
+    c, r = fixtures.cytosines(spark, SF), genome.gene_body(fixtures.genome(spark, SF), 0, 500)
+    m = metagene.metagene(c, r, 1, 2, 1)
+    size = sum(os.path.getsize(f"{SF}/{t}.parquet") for t in ("lineitem", "orders"))
+    monkeypatch.setattr(ranges, "SHARE", size // 20)
+    both = metagene.merged([m, m]).df
+    assert both.rdd.getNumPartitions() >= 40
+    assert both.agg(F.sum("count")).first()[0] == 2 * m.df.agg(F.sum("count")).first()[0]
+
+
 def test_golden_regions(spark):
     g = spark.createDataFrame([("1", "gene", 3631, 5899, "+", "a"), ("1", "exon", 3631, 3913, "+", "b"), ("1", "gene", 2000, 9000, "+", "c"), ("1", "gene", 5000, 5100, "+", "d")], "chr string, type string, start long, end long, strand string, id string")
     one = lambda d, i: {k: v for k, v in d.where(F.col("id") == i).first().asDict().items() if k in ("start", "end", "upstream", "downstream")}
