@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ranges
 from ..functions.density import covered, strand_fits
 from ..functions.stats import savitzky_golay, t_half_width
+from ..functions.tables import written
 from .joins import asof_backward
 
 KEY = ["chr", "strand", "start", "gene", "id", "context", "fragment"]
@@ -193,11 +194,12 @@ def smoothed_line(m: Metagene, smooth: int = 0, **options) -> list[float]:
 def heat_map(m: Metagene, rows: int = 100, columns: int | None = None) -> DataFrame:
     """(row, fragment, density in percent), a dense grid: genes from the densest down, dealt evenly over the rows.
 
-    The rank is over the genes (a row each, after aggregation), by ranges of their density."""
+    The rank is over the genes (a row each, after aggregation), by ranges of their density. Shares and weights are read several times on the way, so
+    both are written down: cytosines are placed once, and every reading has a gene at the same weight."""
     r = resize(m, columns)
-    d = forward(r.df).withColumn("share", F.col("sum") / F.col("count"))
+    d = forward(written(r.df.select("gene", "strand", "fragment", (F.col("sum") / F.col("count")).alias("share")), "shares"))
     genes = d.groupBy("gene").agg((F.sum("share") / (r.windows + 1)).alias("weight"))
-    keyed = genes.select("gene", (-F.round("weight", 9)).alias("key"))
+    keyed = written(genes.select("gene", (-F.round("weight", 9)).alias("key")), "weights")
     ranked = ranges.numbered(keyed, "key", ["gene"], "rank").crossJoin(F.broadcast(keyed.agg(F.count("*").alias("n"))))  # one row
     row = F.floor(F.col("rank") / F.col("n") * rows).cast("long")
     cells = d.join(ranked.select("gene", row.alias("row")), "gene").groupBy("row", "fragment").agg((F.avg("share") * 100).alias("density"))

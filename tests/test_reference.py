@@ -121,6 +121,23 @@ def test_merged_samples_dealt_by_size(spark, monkeypatch):
     assert both.agg(F.sum("count")).first()[0] == 2 * m.df.agg(F.sum("count")).first()[0]
 
 
+def test_heat_map_places_cytosines_once(spark):
+    c, r = fixtures.cytosines(spark, SF), genome.gene_body(fixtures.genome(spark, SF), 0, 500)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    m = metagene.metagene(c, r, 2, 4, 2)
+    n = m.df.count()
+    once = m.of(m.df.withColumn("gene", counted("gene")))
+    got = metagene.heat_map(once, 5).collect()
+    assert len(got) == 5 * 8 and any(x.density > 0 for x in got)
+    assert seen.value == n
+
+
 def test_golden_regions(spark):
     g = spark.createDataFrame([("1", "gene", 3631, 5899, "+", "a"), ("1", "exon", 3631, 3913, "+", "b"), ("1", "gene", 2000, 9000, "+", "c"), ("1", "gene", 5000, 5100, "+", "d")], "chr string, type string, start long, end long, strand string, id string")
     one = lambda d, i: {k: v for k, v in d.where(F.col("id") == i).first().asDict().items() if k in ("start", "end", "upstream", "downstream")}
