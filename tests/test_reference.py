@@ -12,7 +12,7 @@ import __spark_entry__
 from epistrata import cli
 from epistrata.functions import ranges, stats
 from epistrata.functions.density import binom_sf
-from epistrata.operators import clusters, genome, joins, metagene, reads
+from epistrata.operators import clusters, genome, joins, metagene, reads, replicates
 from epistrata.plans import fixtures, registry
 from epistrata.sources import annotation, reports, sam
 from epistrata.streaming import windows
@@ -138,6 +138,15 @@ def test_heat_map_places_cytosines_once(spark):
     assert seen.value == n
 
 
+def test_merged_reports_dealt_by_size(spark, monkeypatch):
+    """Tasks of a merge of reports grow in number with the files, not in what they sort."""
+    monkeypatch.setattr(ranges, "SHARE", os.path.getsize(f"{SF}/lineitem.parquet") // 20)
+    parts = [fixtures.cytosines(spark, SF, i) for i in (0, 1)]
+    both = replicates.merge(parts)
+    assert both.rdd.getNumPartitions() >= 40
+    assert both.agg(F.sum("count_total")).first()[0] == sum(d.agg(F.sum("count_total")).first()[0] for d in parts)
+
+
 def test_golden_regions(spark):
     g = spark.createDataFrame([("1", "gene", 3631, 5899, "+", "a"), ("1", "exon", 3631, 3913, "+", "b"), ("1", "gene", 2000, 9000, "+", "c"), ("1", "gene", 5000, 5100, "+", "d")], "chr string, type string, start long, end long, strand string, id string")
     one = lambda d, i: {k: v for k, v in d.where(F.col("id") == i).first().asDict().items() if k in ("start", "end", "upstream", "downstream")}
