@@ -23,32 +23,41 @@ from pyspark.sql import functions as F
 
 from . import common
 from .prefix import in_order
-from .tokens import encoder
+from .tokens import BLOCK, encoder
 
 #: A cut where the rolling hash of the last WINDOW ids ends in MASK zero bits, so about every 512 ids.
 WINDOW, MASK, LEAST, MOST = 16, (1 << 9) - 1, 64, 4096
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Pieces that a worker's encoder keeps in each of two generations. A task holds chunks and recipes beside them, and an executor runs several.
 KEPT = 400_000
+#: Ids that are hashed at a time, few enough for a core's cache.
+SLAB = 16_384
 #: Documents of one manifest.
 PART = 4096
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream. They depend on nearby content only, so equal passages get equal chunks."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    # Rolling hash of the window that ends at each id: a polynomial in an odd multiplier modulo 2^64, by doubling.
-    h, size = ids.astype(np.uint64) + np.uint64(1), 1
-    while size < WINDOW:
-        h = h[:-size] * np.uint64(pow(MULTIPLIER, size, 1 << 64)) + h[size:]
-        size *= 2
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    marks = np.flatnonzero((h >> np.uint64(20)) & np.uint64(MASK) == 0) + WINDOW
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of the windows after which a chunk may end, ascending."""
+    found = []
+    for begin in range(0, len(ids) - WINDOW + 1, SLAB):
+        # Rolling hash of the window that ends at each id: a polynomial in an odd multiplier modulo 2^64, by doubling.
+        h, size = ids[begin : begin + SLAB + WINDOW - 1].astype(np.uint64), 1
+        h += np.uint64(1)
+        while size < WINDOW:
+            h = h[:-size] * np.uint64(pow(MULTIPLIER, size, 1 << 64)) + h[size:]
+            size *= 2
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h >>= np.uint64(20)
+        h &= np.uint64(MASK)
+        found.append(np.flatnonzero(h == 0) + (begin + WINDOW))
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+
+def _ends(marks: list[int], n: int) -> list[int]:
+    """Ends of the chunks of ``n`` ids with such marks."""
     ends, last = [], 0
-    for m in marks.tolist():
+    for m in marks:
         while m - last > MOST:
             last += MOST
             ends.append(last)
@@ -63,6 +72,19 @@ def cuts(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream. They depend on nearby content only, so equal passages get equal chunks."""
+    return _ends(_marks(ids).tolist(), len(ids))
+
+
+def cuts_of_all(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """``cuts`` of each stream of those that stand in ``ids`` in turn; ``bounds``: 0 and where each ends."""
+    marks = _marks(ids)
+    # A stream's own windows end WINDOW ids after its begin at the earliest.
+    lows, highs = np.searchsorted(marks, bounds[:-1] + WINDOW).tolist(), np.searchsorted(marks, bounds[1:], "right").tolist()
+    return [_ends((marks[x:y] - begin).tolist() if x < y else [], end - begin) for x, y, begin, end in zip(lows, highs, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
 def digest(b: bytes) -> bytes:
     return hashlib.blake2b(b, digest_size=16).digest()
 
@@ -75,31 +97,53 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def _parts(batch: pa.RecordBatch, text_at: int):
+    """The batch's rows in turn, as many at a time as have BLOCK bytes of text, or one."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(), dtype=np.int64)
+    begin, done = 0, 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(sizes, done + BLOCK, "right")))
+        yield batch.slice(begin, end - begin)
+        begin, done = end, int(sizes[end - 1])
+
+
+def _lists(counts: list[int], values: pa.Array) -> pa.Array:
+    """``values`` as lists of so many."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts, dtype=np.int64)), pa.int32()), values)
+
+
 def _encode(path: str, end_id: int, dtype: str, text_at: int):
     def run(batches):
-        enc, seen = encoder(path, KEPT), set()
+        enc, seen, ended = encoder(path, KEPT), set(), np.array([end_id], dtype="<u4").tobytes()
+        width = int(dtype[2])
         for b in batches:
-            for k in range(0, b.num_rows, 128):
-                part = b.slice(k, 128)
-                counts, recipes, blobs, roots = [], [], [], []
-                for raw in enc.encode_all([t or "" for t in part.column(text_at).to_pylist()]):
-                    ids = np.append(np.frombuffer(raw, dtype="<u4"), end_id).astype(dtype)
-                    names, new, at = [], [], 0
-                    for end in cuts(ids):
-                        piece = ids[at:end].tobytes()
+            for part in _parts(b, text_at):
+                raws = enc.encode_all([t or "" for t in part.column(text_at).to_pylist()])
+                counts = np.array([len(r) // 4 + 1 for r in raws], dtype=np.int64)
+                bounds = np.append(0, np.cumsum(counts))
+                ids = np.frombuffer(b"".join([x for r in raws for x in (r, ended)]), dtype="<u4").astype(dtype)
+                held = ids.tobytes()
+                names, n_names, new, chunks, fresh, roots = [], [], [], [], [], []
+                for begin, ends in zip(bounds.tolist(), cuts_of_all(ids, bounds), strict=False):
+                    mine, before, at = [], len(new), width * begin
+                    for end in ends:
+                        end = width * (begin + end)
+                        piece = held[at:end]
                         d = digest(piece)
-                        names.append(d)
+                        mine.append(d)
                         if d not in seen:  # what this task has already handed on needn't be sent again
                             if len(seen) < 1_000_000:
                                 seen.add(d)
-                            new.append({"digest": d, "ids": piece})
+                            new.append(d)
+                            chunks.append(piece)
                         at = end
-                    counts.append(len(ids))
-                    recipes.append(names)
-                    blobs.append(new)
-                    roots.append(merkle_root(names))
+                    names += mine
+                    n_names.append(len(mine))
+                    fresh.append(len(new) - before)
+                    roots.append(merkle_root(mine))
+                blobs = pa.StructArray.from_arrays([pa.array(new, pa.binary()), pa.array(chunks, pa.binary())], ["digest", "ids"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts, pa.int64()), pa.array(recipes, pa.list_(pa.binary())), pa.array(roots, pa.binary()), pa.array(blobs, pa.list_(pa.struct([("digest", pa.binary()), ("ids", pa.binary())])))],
+                    [part.column(0), pa.array(counts), _lists(n_names, pa.array(names, pa.binary())), pa.array(roots, pa.binary()), _lists(fresh, blobs)],
                     names=["doc_id", "n_tokens", "digests", "root", "new"])
 
     return run

@@ -281,6 +281,34 @@ def test_the_store_keeps_few_pieces_in_a_worker(monkeypatch):
     assert rows[0] == rows[1] and [e.kept for e in made] == [400_000, 2]
 
 
+def test_the_store_encodes_latin_texts_together(monkeypatch):
+    """Documents are encoded by bytes of text, not 128 at a time, and words of Latin texts don't stay as Python's objects; every document has the ids and chunks that it has alone."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, fuzz = Tokenizer.from_file(path), random.Random(4)
+    pool = ["A", "b", "'s", "'LL", "'", "'re", "re", "7", "é", "ß", "Ñ", "ÿ", ",", "!!", "Wort", " ", " ", "\n", "<|endoftext|"]
+    texts = [None, "", " ", "\n", "'", *["".join(fuzz.choices(pool, k=fuzz.randint(1, 300))) for _ in range(300)], "x" * 9000, " a'b" * 9000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    for block, kept in ((None, 750_000), (2_000, 60)):
+        enc, sizes = tokens.PieceEncoder(path, kept), []
+        encode = enc.encode_all
+        enc.encode_all = lambda some: sizes.append(len(some)) or encode(some)
+        monkeypatch.setattr(token_store, "encoder", lambda *a: enc)
+        if block:
+            monkeypatch.setattr(tokens, "BLOCK", block)
+            monkeypatch.setattr(token_store, "BLOCK", block)
+        rows = pa.Table.from_batches(token_store._encode(path, 1, "<u2", 1)(iter([batch]))).to_pylist()
+        chunks = {c["digest"]: c["ids"] for r in rows for c in r["new"]}
+        for r, t in zip(rows, texts, strict=True):
+            ids = np.array(plain.encode(t or "", add_special_tokens=False).ids + [1], dtype="<u2")
+            ends = token_store.cuts(ids)
+            assert [chunks[d] for d in r["digests"]] == [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)], t
+            assert r["n_tokens"] == len(ids) and r["root"] == token_store.merkle_root(r["digests"])
+        assert (len(sizes) > 20 if block else sizes == [len(texts)]) and sum(sizes) == len(texts) and not enc.known
+    whole = tokens.PieceEncoder(path).encode_all([t or "" for t in texts])
+    monkeypatch.setattr(tokens, "LONGEST", 100)
+    assert tokens.PieceEncoder(path).encode_all([t or "" for t in texts]) == whole
+
+
 def test_store_round_trip(spark, docs, odd):
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for table in (docs, odd, docs.limit(0)):
