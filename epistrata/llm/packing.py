@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .token_store import parts as parts_of
 from .tokens import encoder
 
 LENGTH = 1024
@@ -69,8 +70,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
         enc = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part, out = b.slice(k, 256), []
+            for part in parts_of(b, 1):
+                out = []
                 for d, raw in zip(part.column(0).to_pylist(), enc.encode_all([t or "" for t in part.column(1).to_pylist()])):
                     raw += end
                     n, at, p = len(raw) // 4, 0, 0
@@ -83,6 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
                 types = [part.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+                pa.default_memory_pool().release_unused()  # else a worker keeps what its largest part took
 
     out = docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
     return out if keep_ids else out.drop("ids")

@@ -97,7 +97,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _parts(batch: pa.RecordBatch, text_at: int):
+def parts(batch: pa.RecordBatch, text_at: int):
     """The batch's rows in turn, as many at a time as have BLOCK bytes of text, or one."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(), dtype=np.int64)
     begin, done = 0, 0
@@ -117,7 +117,7 @@ def _encode(path: str, end_id: int, dtype: str, text_at: int):
         enc, seen, ended = encoder(path, KEPT), set(), np.array([end_id], dtype="<u4").tobytes()
         width = int(dtype[2])
         for b in batches:
-            for part in _parts(b, text_at):
+            for part in parts(b, text_at):
                 raws = enc.encode_all([t or "" for t in part.column(text_at).to_pylist()])
                 counts = np.array([len(r) // 4 + 1 for r in raws], dtype=np.int64)
                 bounds = np.append(0, np.cumsum(counts))

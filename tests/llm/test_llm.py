@@ -270,6 +270,20 @@ def test_marks_are_learnt_apart_from_words():
             assert e._whole(t) == bool(e.odd.search(t))
 
 
+def test_byte_level_words_are_kept_in_columns():
+    """No piece of an even text stays as Python's object, whatever its characters; the ids are the tokenizer's, however few words are kept."""
+    path, fuzz = public_tokenizers.path("byte_bpe_50k.json"), random.Random(6)
+    plain = Tokenizer.from_file(path)
+    pool = ["A", "b", "'s", "'LL", "'", "s", "re", "7", "42", "é", "ß", "…", "’", ",", "!!", "<", "\u0301", "日", "²", "×", "÷", "\x01", " ", " ", "\n"]
+    texts = ["", "é's …'s ’s, ×'s", " a\n 's", *["".join(fuzz.choices(pool, k=fuzz.randint(1, 30))) for _ in range(3000)]]
+    for kept in (100, 200_000):
+        enc = tokens.PieceEncoder(path, kept)
+        got = [x for i in range(0, len(texts), 500) for x in enc.encode_all(texts[i : i + 500])]
+        for t, ids in zip(texts, got, strict=True):
+            assert ids == np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(t)
+        assert not enc.known and not enc.older
+
+
 def test_the_store_keeps_few_pieces_in_a_worker(monkeypatch):
     """What the store's encoder keeps is bounded by its own limit, and ids don't depend on it."""
     path, made = public_tokenizers.path("word_bpe_49k.json"), []
