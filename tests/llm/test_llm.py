@@ -284,6 +284,16 @@ def test_byte_level_words_are_kept_in_columns():
         assert not enc.known and not enc.older
 
 
+def test_letters_beyond_ascii_are_learnt_apart_from_marks():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, plain, learnt = tokens.PieceEncoder(path), Tokenizer.from_file(path), []
+    learn = enc._learn
+    enc._learn = lambda pieces: (learnt.extend(pieces), learn(pieces))
+    text = "so" + "".join(f" zörblaté{m}" for m in [",", ".", "!!", "$$$", "'s", "7", ""])
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert [p for p in learnt if "zörblat" in p] == [" zörblaté"]
+
+
 def test_the_store_keeps_few_pieces_in_a_worker(monkeypatch):
     """What the store's encoder keeps is bounded by its own limit, and ids don't depend on it."""
     path, made = public_tokenizers.path("word_bpe_49k.json"), []
